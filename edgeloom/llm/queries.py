@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash, token_files, topk
+from . import bpe, exact_dedup, html_text, line_dedup, packing, simhash, token_files, topk
 from .common import read_table
 from .tokens import default_path
 
@@ -62,3 +62,14 @@ ORACLE_SQL = {
         FROM n JOIN g USING (norm)
     """,
 }
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), n_chars="n_chars")
+
+
+QUERIES |= {f.__name__: f for f in (op3_html_extraction, op7_line_dedup)}
