@@ -1,8 +1,66 @@
-"""Corpus pipeline (placeholder stages follow)."""
+"""Corpus pipeline: toxicity, quality, repeated lines, near copies, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its result is written as Parquet
+and read again as the next stage's docs. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from edgeloom.llm import line_dedup, packing, quality, simhash, toxicity
+from edgeloom.llm.common import materialize, read_table
+from edgeloom.llm.tokens import default_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network doesn't reject."""
+    model = toxicity.fit_tables(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field finds good."""
+    model = quality.fit_tables(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, model)
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; passages that an earlier document holds are cut from the later ones."""
+    return line_dedup.dedup_lines(docs, n_chars="n_chars")
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more).
+
+    A document without an id stays. Rows that repeat an id stay or go together.
+    """
+    groups = simhash.near_duplicate_groups(docs, shingle=5, similarity=0.8)
+    gone = groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens: a row per piece of a document."""
+    return packing.pack_documents(docs, tokenizer=default_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", keep_quality),
+    ("line_dedup", cut_repeated_lines),
+    ("simhash_dedup", one_of_near_copies),
+    ("packing", pack_sequences),
+]
+
+#: model scores, alignments and packings have no SQL form; tests hold each stage against brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

@@ -82,3 +82,21 @@ def slices(batch, rows: int = 512, max_bytes: int = 8 << 20, text: int | None =
             j += 1
         yield batch.slice(i, j - i)
         i = j
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int, text: str = "text") -> list[tuple[str, int]]:
+    """(text, label) of at most ``limit`` labelled rows for fitting: those of the smallest hashes of doc_id, without
+    held-out rows (crc32 of the id as text, modulo ``modulus``, equal to ``held_out``). Bounded by ``limit``."""
+    known = (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder("doc_id", modulus) != held_out))
+        .groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.max(label).alias("y")).orderBy(F.xxhash64("k", F.lit(7)), "k").limit(limit)
+    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    # at most ``limit`` pairs of numbers
+    got = rows.join(F.broadcast(known), "k").orderBy(F.xxhash64("k", F.lit(7)), "k", "t").limit(limit).collect()
+    return [(r["t"], int(r["y"])) for r in got]
+
+
+def remainder(col: str, modulus: int):
+    """crc32 of a number's decimal text, modulo ``modulus``; null for null."""
+    return F.crc32(F.col(col).cast("string").cast("binary")) % modulus

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, line_dedup, packing, simhash, token_files, topk
+from . import bpe, exact_dedup, html_text, line_dedup, packing, quality, simhash, token_files, topk, toxicity
 from .common import read_table
 from .tokens import default_path
 
@@ -73,3 +73,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op3_html_extraction, op7_line_dedup)}
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit_tables(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit_tables(docs, read_table(spark, sf_dir, "labels")))
+
+
+QUERIES |= {f.__name__: f for f in (op2_toxicity, op10_quality)}
