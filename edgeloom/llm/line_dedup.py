@@ -98,8 +98,18 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def covered_lines(own: list[bytes], partner: list[bytes]) -> list[int]:
-    """Positions of ``own`` in blocks that patience diff aligns with ``partner``; blank lines alone cover nothing."""
-    return [i for i, _ in patience(own, partner) if own[i]]
+    """Positions of ``own`` in blocks that patience diff aligns with ``partner``; blank lines alone cover nothing.
+
+    What is left is aligned again, until nothing is found: a passage can stand twice in the later document.
+    """
+    left, covered = list(range(len(own))), []
+    while True:
+        found = {left[i] for i, _ in patience([own[i] for i in left], partner)}
+        found = {i for i in found if own[i]}
+        if not found:
+            return sorted(covered)
+        covered += found
+        left = [i for i in left if i not in found and own[i]]
 
 
 def deleted_lines(covered, words: list[int], min_words: int) -> set[int]:
