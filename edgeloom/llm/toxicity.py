@@ -31,6 +31,7 @@ WINDOW, STRIDE = 24, 12
 WORD_ROWS, GRAM_ROWS, EMBED, HIDDEN, ATTEND = 1 << 14, 1 << 12, 12, 10, 8
 LONGEST_WORD = 40
 MEMORY = 150_000
+LEAST_STEPS = 300
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -240,8 +241,11 @@ def fit(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 11):
     s = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
     clean = np.flatnonzero(y[owner] == 0)
+    # few labels: smaller batches and more rounds, for about as many steps
+    size = int(np.clip(5 * y.sum() // 16, 16, 128))
+    epochs = max(epochs, min(60, int(LEAST_STEPS * size // (5 * y.sum() + 1))))
     for epoch in range(epochs):
-        if epoch in (3, 6):
+        if epoch in (3 * epochs // 10, 6 * epochs // 10):
             level = _window_logits(p, _inputs(p, words, grams, there) @ p["wx"] + p["bx"], idx, sizes)
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, owner, level)
@@ -249,8 +253,8 @@ def fit(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 11):
         hard = clean[np.argsort(-level[clean], kind="stable")[: len(top)]]
         chosen = np.concatenate([top, hard, rng.choice(clean, min(len(clean), 3 * len(top)), replace=False)])
         rng.shuffle(chosen)
-        for b in range(0, len(chosen), 128):
-            at = chosen[b : b + 128]
+        for b in range(0, len(chosen), size):
+            at = chosen[b : b + size]
             used, place = np.unique(idx[at], return_inverse=True)
             place = place.reshape(len(at), WINDOW).T
             gr, th = grams[used], there[used]
