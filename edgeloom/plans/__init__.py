@@ -1,0 +1 @@
+"""Storage between steps, and the catalogue of queries."""

@@ -1,0 +1 @@
+"""Where edges, labels, sets and patterns come from, and where they go."""

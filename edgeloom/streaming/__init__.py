@@ -1,0 +1 @@
+"""No operator of this library works on streams; edge lists are bounded tables."""
