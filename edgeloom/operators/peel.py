@@ -8,7 +8,7 @@ from math import floor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import global_rank, materialize
+from ..plans.storage import global_rank, materialize, replace
 from .degree import degrees, with_isolated
 from .orient import by_id, by_key
 from .prepare import both_directions, canonical_edges, vertices
@@ -43,13 +43,13 @@ def peel_priority(edges: DataFrame, initial: float = 1.0, growth: float = 1.0) -
     threshold, step = initial * base / 2, max(0.5, growth * floor(initial * base) / 2)
     prio, left = 0, n
     for _ in range(MOST_ROUNDS):
-        state = materialize(state.withColumn("prio", F.when(F.col("prio").isNull() & (F.col("res") <= threshold), F.lit(prio)).otherwise(F.col("prio")).cast("long")), "peel")
+        state = replace(state, state.withColumn("prio", F.when(F.col("prio").isNull() & (F.col("res") <= threshold), F.lit(prio)).otherwise(F.col("prio")).cast("long")), "peel")
         taken = state.where(F.col("prio") == prio).count()
         prio += 1
         while taken:
             left -= taken
             after = _wave(both, state, F.col("prio") == prio - 1)
-            state = materialize(after.withColumn("prio", F.when(F.col("prio").isNull() & (F.col("res") <= threshold), F.lit(prio)).otherwise(F.col("prio")).cast("long")), "peel")
+            state = replace(state, after.withColumn("prio", F.when(F.col("prio").isNull() & (F.col("res") <= threshold), F.lit(prio)).otherwise(F.col("prio")).cast("long")), "peel")
             taken = state.where(F.col("prio") == prio).count()
             prio += 1
         if left <= 0:
@@ -71,21 +71,20 @@ def depth_priority(edges: DataFrame, share: float = 0.9, rounds: int = 50, deepe
     t = int(m / max(n, 1))
     first = state.select("v", F.col("res").alias("deg"))
     depth, major, seen = 1, 0, 0
-    while n and seen < share * n and major < rounds and depth <= deepest:
-        major += 1
-        taken = 0
-        while not taken and depth <= deepest:
-            now = state.withColumn("prio", F.when(F.col("prio").isNull() & (F.col("res") <= t * depth), F.lit(major)).otherwise(F.col("prio")).cast("long"))
-            now = materialize(now, "peel")
-            taken = now.where(F.col("prio") == major).count()
-            if not taken:
-                depth += 1
-        if not taken:
+    while n and seen < share * n and major < rounds:
+        least = state.where("prio is null").agg(F.min("res")).first()[0]
+        if least is None or (least > 0 and t == 0):
+            break
+        depth = max(depth, -(-least // t) if t else depth)
+        if depth > deepest:
             break
+        major += 1
+        now = materialize(state.withColumn("prio", F.when(F.col("prio").isNull() & (F.col("res") <= t * depth), F.lit(major)).otherwise(F.col("prio")).cast("long")), "peel")
+        taken = now.where(F.col("prio") == major).count()
         seen += taken
         if taken <= n / 500:
             depth += 1
-        state = materialize(_wave(both, now, F.col("prio") == major), "peel")
+        state = replace(now, _wave(both, now, F.col("prio") == major), "peel")
     last = F.lit(2**32 - 1).cast("long")
     return state.join(first, "v").select("v", F.coalesce("prio", last).alias("major"), F.when(F.col("prio").isNull(), F.col("deg")).otherwise(F.col("res")).alias("minor"))
 
@@ -105,14 +104,14 @@ def core_numbers(edges: DataFrame) -> DataFrame:
     """v, core, round (in which it left) of every id."""
     simple, both, state = _start(edges)
     n = state.count()
-    state = state.select("v", "res", "prio", F.lit(0).cast("long").alias("core"))
+    table, state = state, state.select("v", "res", "prio", F.lit(0).cast("long").alias("core"))
     left, k, round_no = n, 0, 0
     while left:
         k = max(k, state.where("prio is null").agg(F.min("res")).first()[0])
         taken = 1
         while taken and left:
             leave = F.col("prio").isNull() & (F.col("res") <= k)
-            state = materialize(state.select("v", "res", F.when(leave, F.lit(k)).otherwise(F.col("core")).cast("long").alias("core"), F.when(leave, F.lit(round_no)).otherwise(F.col("prio")).cast("long").alias("prio")), "core")
+            table = state = replace(table, state.select("v", "res", F.when(leave, F.lit(k)).otherwise(F.col("core")).cast("long").alias("core"), F.when(leave, F.lit(round_no)).otherwise(F.col("prio")).cast("long").alias("prio")), "core")
             taken = state.where(F.col("prio") == round_no).count()
             left -= taken
             if taken and left:

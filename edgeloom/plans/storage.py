@@ -25,7 +25,18 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._edgeloom_path = path
+    return back
+
+
+def replace(old: DataFrame, df: DataFrame, tag: str = "step") -> DataFrame:
+    """``materialize``, then delete the materialized table that ``df`` came from and nothing needs any more."""
+    new = materialize(df, tag)
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(old._edgeloom_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return new
 
 
 def global_rank(df: DataFrame, *keys, name: str = "rank") -> DataFrame:
