@@ -53,7 +53,16 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/edgeloom-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._edgeloom_path = path
+    return back
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a materialized table that a later one has replaced."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._edgeloom_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        now = materialize(_star(_star(now, large=True), large=False), "edges")
+        before, now = now, materialize(_star(_star(now, large=True), large=False), "edges")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     ends = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
