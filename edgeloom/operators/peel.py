@@ -58,7 +58,7 @@ def peel_priority(edges: DataFrame, initial: float = 1.0, growth: float = 1.0) -
     raise RuntimeError("peeling did not end")
 
 
-def a_direction(edges: DataFrame, initial: float = 1.0, growth: float = 1.0) -> DataFrame:
+def peel_direction(edges: DataFrame, initial: float = 1.0, growth: float = 1.0) -> DataFrame:
     """Edges from the lower peel priority to the higher; ties from the smaller id."""
     return by_key(canonical_edges(edges), peel_priority(edges, initial, growth), "priority", "v")
 
@@ -134,4 +134,4 @@ def core_direction(edges: DataFrame) -> DataFrame:
     return by_key(canonical_edges(edges), core_numbers(edges), "core", "v")
 
 
-__all__ = ["a_direction", "by_id", "core_direction", "core_numbers", "degeneracy", "degeneracy_order", "depth_direction", "depth_priority", "peel_priority", "peel_relabel"]
+__all__ = ["peel_direction", "by_id", "core_direction", "core_numbers", "degeneracy", "degeneracy_order", "depth_direction", "depth_priority", "peel_priority", "peel_relabel"]

@@ -151,7 +151,7 @@ query("direct_by_degree_larger_tie", sql("SELECT src, dst FROM ol", "d", "ol"))(
 _RANKED = "r AS (SELECT v, row_number() OVER (ORDER BY deg DESC, v DESC) - 1 AS nv FROM da)"
 query("degree_relabel_edges", sql("X", "vv", "d", "da").replace(" X", ", " + _RANKED + " SELECT a.nv AS src, b.nv AS dst FROM e JOIN r a ON a.v = e.src JOIN r b ON b.v = e.dst"))(lambda s, d: (lambda e: relabel.apply(e, relabel.degree_relabel(e)))(_ps(s, d)))
 query("degree_relabel_direct", sql("X", "vv", "d", "da").replace(" X", ", " + _RANKED + " SELECT greatest(a.nv, b.nv) AS src, least(a.nv, b.nv) AS dst FROM e JOIN r a ON a.v = e.src JOIN r b ON b.v = e.dst"))(lambda s, d: relabel.degree_relabel_orient(_ps(s, d)))
-query("direct_by_peeling")(lambda s, d: peel.a_direction(_co(s, d)))
+query("direct_by_peeling")(lambda s, d: peel.peel_direction(_co(s, d)))
 query("peel_priority")(lambda s, d: peel.peel_priority(_co(s, d)))
 query("peel_priority_wide")(lambda s, d: peel.peel_priority(_co(s, d), 2.0, 0.5))
 query("direct_by_depth")(lambda s, d: peel.depth_direction(_co(s, d)))

@@ -89,7 +89,7 @@ def test_peeling_and_cores(spark):
         left.discard(v)
     assert {r["v"]: r["core"] for r in peel.core_numbers(e).collect()} == core
     tri = triangles.count_triangles(triangles.directed(e)).first()[0]
-    for directed in (peel.a_direction(e), peel.depth_direction(e), peel.core_direction(e)):
+    for directed in (peel.peel_direction(e), peel.depth_direction(e), peel.core_direction(e)):
         assert directed.count() == len(pairs)
         assert triangles.count_triangles(directed, "array").first()[0] == tri
 
