@@ -71,7 +71,7 @@ def edge_bins(work: DataFrame) -> DataFrame:
     col = F.lit(1)
     for i in (2, 4, 8, 16, 32):
         bound = int(8 ** ((power - 1) * (i - 1) / 32 + 1))
-        col = F.when(F.col("work") >= bound, F.lit(i)).otherwise(col) if i == 2 else F.when(F.col("work") >= bound, F.lit(i)).otherwise(col)
+        col = F.when(F.col("work") >= bound, F.lit(i)).otherwise(col)
     return work.withColumn("bin", col.cast("long"))
 
 

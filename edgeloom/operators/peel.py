@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import global_rank, materialize, replace
 from .degree import degrees, with_isolated
-from .orient import by_id, by_key
+from .orient import by_key
 from .prepare import both_directions, canonical_edges, vertices
 from .relabel import apply
 
@@ -132,6 +132,3 @@ def degeneracy_order(cores: DataFrame) -> DataFrame:
 
 def core_direction(edges: DataFrame) -> DataFrame:
     return by_key(canonical_edges(edges), core_numbers(edges), "core", "v")
-
-
-__all__ = ["peel_direction", "by_id", "core_direction", "core_numbers", "degeneracy", "degeneracy_order", "depth_direction", "depth_priority", "peel_priority", "peel_relabel"]
