@@ -49,7 +49,7 @@ def _matrices(batch):
 
 
 def _scored(batches, q_ids, q_mats):
-    """(rows of queries, candidate ids, scores) for slices of the candidates; a query's own rows score None-like -inf."""
+    """(rows of queries, candidate ids, scores) for slices of the candidates; a query's own rows score minus infinity."""
     import numpy as np
 
     for batch in batches:
@@ -158,7 +158,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
                 cut = np.flatnonzero(np.diff(hit_q)) + 1
                 for rows_, cols in zip(np.split(hit_q, cut), np.split(hit_c, cut)):
                     i = int(at[rows_[0]])
-                    new = np.stack([-s[rows_[0], cols], ids[cols]]) if False else (-s[rows_[0], cols], ids[cols])
+                    new = (-s[rows_[0], cols], ids[cols])
                     old = best.get(i)
                     a, b = new if old is None else (np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]]))
                     o = np.lexsort((b, a))[:k]  # this partition's k best hold all of its rows among the k best of all
