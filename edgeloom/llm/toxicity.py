@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import labelled_sample, remainder, ship_package, slices
 
 #: labelled rows used for fitting, at most
-FIT_ROWS = 4000
+FIT_ROWS = 3000
 THRESHOLD = 0.5
 MODULUS, HELD_OUT = 5, 0
 WINDOW, STRIDE = 24, 12
@@ -146,57 +147,61 @@ def _backward(p: dict, grads: dict, dlogit, mask, saved):
 
 
 class _Vocabulary:
-    """Words met so far, as rows of feature arrays; row 0 is padding."""
+    """Words met so far, as rows of flat feature arrays; row 0 is padding."""
 
     def __init__(self):
-        self.row, self.words, self.grams = {"": 0}, [0], [[0]]
+        self.row, self.words, self.grams, self.ends = {"": 0}, array("i", [0]), array("i", [0]), array("q", [1])
+
+    def rows(self, words: list[str]):
+        import numpy as np
 
-    def rows(self, words: list[str]) -> list[int]:
         row = self.row
         for w in set(words).difference(row):
             row[w] = len(self.words)
             a, b = _features(w)
             self.words.append(a)
-            self.grams.append(b)
-        return [row[w] for w in words]
+            self.grams.extend(b)
+            self.ends.append(len(self.grams))
+        return np.fromiter(map(row.__getitem__, words), np.int32, len(words))
 
     def arrays(self, since: int = 0):
+        """(word rows, trigram rows of all words in turn, how many each word has)."""
         import numpy as np
 
-        width = max(map(len, self.grams[since:]), default=1)
-        grams = np.zeros((len(self.words) - since, width), np.int64)
-        there = np.zeros((len(self.words) - since, width), np.float32)
-        for i, g in enumerate(self.grams[since:]):
-            grams[i, : len(g)] = g
-            there[i, : len(g)] = 1 / len(g)
-        return np.array(self.words[since:], np.int64), grams, there
+        ends = np.array(self.ends[max(since - 1, 0) :], np.int64)
+        begin = int(ends[0]) if since else 0
+        counts = np.diff(ends) if since else np.diff(ends, prepend=0)
+        return np.array(self.words[since:], np.int32), np.array(self.grams[begin:], np.int32), counts
 
 
-def _inputs(p: dict, words, grams, there):
+def _inputs(p: dict, words, grams, counts):
     import numpy as np
 
     out = np.empty((len(words), 2 * EMBED), np.float32)
     out[:, :EMBED] = p["word"][words]
+    ends = np.cumsum(counts)
+    starts = ends - counts
     for i in range(0, len(words), 4096):
-        out[i : i + 4096, EMBED:] = np.einsum("vk,vkd->vd", there[i : i + 4096], p["gram"][grams[i : i + 4096]])
+        s = starts[i : i + 4096]
+        own = p["gram"][grams[s[0] : ends[min(i + 4096, len(words)) - 1]]]
+        out[i : i + 4096, EMBED:] = np.add.reduceat(own, s - s[0]) / counts[i : i + 4096, None]
     return out
 
 
-def _cut(rows: list[list[int]]):
+def _cut(rows):
     """(window rows (windows, WINDOW), number of words in each, first window of each text)."""
     import numpy as np
 
-    starts, sizes, first, at, flat = [], [], [], 0, []
+    starts, sizes, first, at = [], [], [], 0
     for r in rows:
         first.append(len(starts))
         for s in windows_of(len(r)):
             starts.append(at + s)
             sizes.append(min(len(r), WINDOW))
-        flat += r
         at += len(r)
-    flat = np.array(flat + [0] * WINDOW, np.int64)
-    sizes = np.array(sizes, np.int64)
-    idx = flat[np.array(starts, np.int64)[:, None] + np.arange(WINDOW)] if len(starts) else np.zeros((0, WINDOW), np.int64)
+    flat = np.concatenate([*rows, np.zeros(WINDOW, np.int32)])
+    sizes = np.array(sizes, np.int32)
+    idx = flat[np.array(starts, np.int64)[:, None] + np.arange(WINDOW)] if len(starts) else np.zeros((0, WINDOW), np.int32)
     idx[np.arange(WINDOW)[None, :] >= sizes[:, None]] = 0
     return idx, sizes, np.array(first, np.int64)
 
@@ -225,7 +230,9 @@ def fit(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 11):
     rng = np.random.default_rng(seed)
     vocabulary = _Vocabulary()
     texts = [vocabulary.rows(t.split()) for t, _ in rows]
-    words, grams, there = vocabulary.arrays()
+    words, grams, counts = vocabulary.arrays()
+    del vocabulary
+    gram_at = np.cumsum(counts) - counts
     idx, sizes, first = _cut(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(idx))))
     # how much likelier each word (its hash row) is in toxic texts: for the first choice of windows only
@@ -246,7 +253,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 11):
     epochs = max(epochs, min(60, int(LEAST_STEPS * size // (5 * y.sum() + 1))))
     for epoch in range(epochs):
         if epoch in (3 * epochs // 10, 6 * epochs // 10):
-            level = _window_logits(p, _inputs(p, words, grams, there) @ p["wx"] + p["bx"], idx, sizes)
+            level = _window_logits(p, _inputs(p, words, grams, counts) @ p["wx"] + p["bx"], idx, sizes)
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, owner, level)
         top = np.flatnonzero((level == best[owner]) & (y[owner] > 0))
@@ -257,8 +264,9 @@ def fit(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 11):
             at = chosen[b : b + size]
             used, place = np.unique(idx[at], return_inverse=True)
             place = place.reshape(len(at), WINDOW).T
-            gr, th = grams[used], there[used]
-            inp = np.concatenate([p["word"][words[used]], np.einsum("vk,vkd->vd", th, p["gram"][gr])], 1)
+            many = counts[used]
+            gr = grams[np.repeat(gram_at[used] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            inp = _inputs(p, words[used], gr, many)
             mask = np.arange(WINDOW)[:, None] < sizes[at][None, :]
             logit, saved = forward(p, (inp @ p["wx"] + p["bx"])[place], mask, True)
             g = {k: np.zeros_like(v) for k, v in p.items()}
@@ -270,13 +278,13 @@ def fit(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 11):
             g["bx"] += dproj.sum(0)
             dinp = dproj @ p["wx"].T
             np.add.at(g["word"], words[used], dinp[:, :EMBED])
-            np.add.at(g["gram"], gr.ravel(), (th[:, :, None] * dinp[:, None, EMBED:]).reshape(-1, EMBED))
+            np.add.at(g["gram"], gr, np.repeat(dinp[:, EMBED:] / many[:, None].astype(np.float32), many, axis=0))
             step += 1
             for k in p:
                 m[k] += 0.1 * (g[k] - m[k])
                 s[k] += 0.001 * (g[k] * g[k] - s[k])
                 p[k] -= np.float32(0.01) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-7)
-    logits = _window_logits(p, _inputs(p, words, grams, there) @ p["wx"] + p["bx"], idx, sizes)
+    logits = _window_logits(p, _inputs(p, words, grams, counts) @ p["wx"] + p["bx"], idx, sizes)
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, logits)
     return p, *_calibrate(best, y)
