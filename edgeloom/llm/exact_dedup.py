@@ -4,6 +4,9 @@ Sampled splitters range-partition the normalised texts (with the id as the secon
 copies spreads over many partitions), an external sort places equal texts next to each other, and neighbours are
 compared in full. Runs that touch a partition's edge are joined by their whole text in a second, tiny step.
 
+Splitters are short: the first characters, a hash of the whole text and the id, so what the driver samples stays
+small however long the texts are. Equal texts agree in the first two, and the sort goes on to the whole text.
+
 Defined cases: null text counts as empty; texts are equal when identical after lower-casing A-Z only; a null id
 loses against any other; rows that repeat both text and id count each, and one of them stays; other columns are
 ignored; an empty table gives an empty result.
@@ -17,6 +20,10 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, materialize, ship_package, shuffle_width
 
 
+#: characters of a text that take part in splitters
+HEAD = 24
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "smallest", partitions: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. ``keep`` is smallest or largest."""
     if keep not in ("smallest", "largest"):
@@ -25,9 +32,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
     ship_package(spark)
     largest = keep == "largest"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("norm"))
+    rows = rows.withColumns({"head": F.substring("norm", 1, HEAD), "hash": F.xxhash64("norm")})
     # the id that stays comes last in its run
-    keys = [F.col("norm"), F.col("doc_id").asc_nulls_first() if largest else F.col("doc_id").desc_nulls_first()]
-    ranged = rows.repartitionByRange(partitions or shuffle_width(spark), *keys).sortWithinPartitions(*keys)
+    own = F.col("doc_id").asc_nulls_first() if largest else F.col("doc_id").desc_nulls_first()
+    ranged = rows.repartitionByRange(partitions or shuffle_width(spark), "head", "hash", own).sortWithinPartitions("head", "hash", "norm", own)
+    ranged = ranged.select("doc_id", "norm", "hash")
     schema = "doc_id long, sha binary, last boolean, keep_id long, group_size long, part int, run long, edge boolean, norm string"
 
     def scan(batches):
@@ -51,28 +60,37 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
             if edge:  # what the run is, with its whole text
                 yield of([(keep_id, None, None, keep_id, n, part, run, True, norm)])
 
-        before, ids, run, rows = None, [], 0, []
+        def close(runs, edge):
+            """The runs of one key: one, but for texts whose hashes collide."""
+            for run, ids, norm in runs:
+                sha = hashlib.sha256(norm.encode("utf-8", "surrogatepass")).digest()
+                if edge or len(ids) > 1000:
+                    yield from flush(ids, sha, run, edge, norm)
+                else:
+                    n, k = len(ids), ids[-1]
+                    rows.extend((x, sha, j == n - 1, k, n, part, run, False, None) for j, x in enumerate(ids))
+
+        before, key, first, runs, run, rows = None, None, None, [], 0, []
         for batch in batches:
-            for d, norm in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if norm == before:
-                    ids.append(d)
+            for d, norm, hashed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if hashed == key and norm == before:
+                    runs[-1][1].append(d)
                     continue
-                if before is not None:
-                    sha = hashlib.sha256(before.encode("utf-8", "surrogatepass")).digest()
-                    if run == 0 or len(ids) > 1000:
-                        yield from flush(ids, sha, run, run == 0, before)
-                    else:
-                        n, k = len(ids), ids[-1]
-                        rows += [(x, sha, j == n - 1, k, n, part, run, False, None) for j, x in enumerate(ids)]
-                        if len(rows) >= 10_000:
-                            yield of(rows)
-                            rows = []
-                    run += 1
-                before, ids = norm, [d]
+                now = (norm[:HEAD], hashed)
+                if runs and now != (before[:HEAD], key):
+                    if first is None:
+                        first = (before[:HEAD], key)
+                    yield from close(runs, (before[:HEAD], key) == first)
+                    runs = []
+                    if len(rows) >= 10_000:
+                        yield of(rows)
+                        rows.clear()
+                runs.append((run, [d], norm))
+                run += 1
+                before, key = norm, hashed
+        yield from close(runs, True)
         if rows:
             yield of(rows)
-        if before is not None:
-            yield from flush(ids, hashlib.sha256(before.encode("utf-8", "surrogatepass")).digest(), run, True, before)
 
     found = materialize(ranged.mapInArrow(scan, schema), "runs")
     # two rows a partition at most; equal whole texts meet here
