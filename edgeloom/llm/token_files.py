@@ -22,38 +22,60 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import materialize, ship_package, shuffle_width, slices
 
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 HEADER = struct.Struct("<4sHQIIQI")
 BLOCK_IDS = 1 << 19
-LANE = 256
-_STEP0 = 16
-_TOTAL0 = 1 << 22
+LANE = 128
+#: steps between two rescalings of the order-0 frequencies
+REFRESH = 8
+_MIX_BITS, _ID_BITS = 12, 20
+_GAIN = 16
 _SLOTS = 1 << 16
 
 
 class _Model:
     """Shared model of all lanes; encoder and decoder call the same methods in the same order."""
 
-    def __init__(self, vocabulary: int):
+    def __init__(self, vocabulary: int, inverse: bool):
         import numpy as np
 
-        self.np = np
+        if vocabulary > 1 << (_ID_BITS - 1):
+            raise ValueError(f"ids must lie below {1 << (_ID_BITS - 1)}")
+        self.np, self.inverse, self.size = np, inverse, vocabulary
         self.freq = np.ones(vocabulary, np.int64)
-        self.cum = np.zeros(vocabulary + 1, np.int64)
-        self.next1, self.sure1 = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
-        self.next2, self.sure2 = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
+        self.fresh: list = []
+        self.next1, self.sure1 = np.zeros(vocabulary, np.int32), np.zeros(vocabulary, np.int32)
+        self.next2, self.sure2 = np.zeros(_SLOTS, np.int32), np.zeros(_SLOTS, np.int32)
         self.mix = np.ones((128, 3), np.int64)
         self.mix[:, 2] = 2
+        self.base = np.arange(vocabulary + 1, dtype=np.int64)
+
+    def refresh(self):
+        """Order-0 intervals of all ids, scaled to 2 ** _ID_BITS with one part at least for each."""
+        np = self.np
+        if self.fresh:
+            self.freq += _GAIN * np.bincount(np.concatenate(self.fresh), minlength=self.size)
+            self.fresh = []
+        cum = np.zeros(self.size + 1, np.int64)
+        np.cumsum(self.freq, out=cum[1:])
+        cum = self.base + cum * ((1 << _ID_BITS) - self.size) // cum[-1]
+        self.start, self.width = cum[:-1].astype(np.uint64), np.diff(cum).astype(np.uint64)
+        if self.inverse:
+            self.id_at = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(cum))
 
     def begin(self, a, b):
-        """Predictions after the ids a (two before) and b: order-2 id, order-1 id, mixture rows."""
+        """Predictions after the ids a (two before) and b; sets the mixture's intervals."""
         np = self.np
-        np.cumsum(self.freq, out=self.cum[1:])
         self.slot = ((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 7) & (_SLOTS - 1)
         self.p2, self.p1 = self.next2[self.slot], self.next1[b]
         self.c2, self.c1 = self.sure2[self.slot], self.sure1[b]
-        self.ctx = (self.c2 * 8 + self.c1) * 2 + (self.p1 == self.p2)
-        return self.p2, self.p1, self.mix[self.ctx]
+        self.ctx = ((self.c2 << 3) + self.c1 << 1) + (self.p1 == self.p2)
+        whole = self.mix.sum(1)
+        room = (1 << _MIX_BITS) - 3
+        one = 1 + self.mix[:, 0] * room // whole
+        two = one + 1 + self.mix[:, 1] * room // whole
+        self.edges = np.zeros((128, 4), np.uint64)
+        self.edges[:, 1], self.edges[:, 2], self.edges[:, 3] = one, two, 1 << _MIX_BITS
 
     def update(self, b, kind, ids):
         np = self.np
@@ -61,9 +83,7 @@ class _Model:
         over = self.mix.sum(1) > 1 << 16
         if over.any():
             self.mix[over] = (self.mix[over] >> 1) | 1
-        np.add.at(self.freq, ids, _STEP0)
-        if self.cum[-1] > _TOTAL0:
-            self.freq = (self.freq >> 1) | 1
+        self.fresh.append(ids)
         for nxt, sure, at, p, c in ((self.next1, self.sure1, b, self.p1, self.c1), (self.next2, self.sure2, self.slot, self.p2, self.c2)):
             hit = p == ids
             sure[at] = np.where(hit, np.minimum(c + 1, 7), c >> 1)
@@ -81,106 +101,109 @@ def encode_ids(ids, vocabulary: int):
     n = len(ids)
     t_max = _shape(n)
     lanes = -(-n // t_max)
-    model = _Model(vocabulary)
+    model = _Model(vocabulary, False)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    s16, s32, low32, least = np.uint64(16), np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
-    out_lane, out_word = [], []
-
-    def put(at, start, f, total):
-        r = rng[at] // total.astype(np.uint64)
-        lo, ra = low[at] + start.astype(np.uint64) * r, f.astype(np.uint64) * r
-        while True:
-            small = np.flatnonzero(ra < least)
-            if not len(small):
-                break
-            out_lane.append(at[small])
-            out_word.append(lo[small] >> s32)
-            lo[small] = (lo[small] & low32) << s16
-            ra[small] <<= s16
-        low[at], rng[at] = lo, ra
-
+    u = np.uint64
+    s32, low32, least, every_bit = u(32), u(0xFFFFFFFF), u(1 << 32), u(2**64 - 1)
+    sent, words = [], []
     a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    every = np.arange(lanes)
     for t in range(t_max):
         m = lanes if (lanes - 1) * t_max + t < n else lanes - 1
         if not m:
             break
-        at = every[:m]
+        if t % REFRESH == 0:
+            model.refresh()
         x = ids[t : t + (m - 1) * t_max + 1 : t_max]
-        p2, p1, row = model.begin(a[:m], b[:m])
-        kind = np.where(x == p2, 0, np.where(x == p1, 1, 2))
-        before = np.stack([np.zeros(m, np.int64), row[:, 0], row[:, 0] + row[:, 1]], 1)
-        put(at, before[at, kind], row[at, kind], row.sum(1))
-        far = np.flatnonzero(kind == 2)
-        if len(far):
-            y = x[far]
-            put(far, model.cum[y], model.freq[y], np.full(len(far), model.cum[-1]))
+        model.begin(a[:m], b[:m])
+        kind = np.where(x == model.p2, 0, np.where(x == model.p1, 1, 2))
+        at = model.ctx * 4 + kind
+        edges = model.edges.ravel()
+        lo, ra = low[:m], rng[:m]
+        start = edges[at]
+        r = ra >> u(_MIX_BITS)
+        lo += start * r
+        ra = (edges[at + 1] - start) * r
+        # all lanes code an id; where a prediction hit, it is the whole interval
+        far = kind == 2
+        r = ra >> u(_ID_BITS)
+        lo += np.where(far, model.start[x], u(0)) * r
+        ra = np.where(far, model.width[x], u(1 << _ID_BITS)) * r
+        while True:
+            small = ra < least
+            if not small.any():
+                break
+            if m < lanes:
+                sent.append(np.append(small, False))
+                words.append(np.append(lo >> s32, u(0)))
+            else:
+                sent.append(small)
+                words.append(lo >> s32)
+            shift = small * u(16)
+            lo[:] = (lo & np.where(small, low32, every_bit)) << shift
+            ra = ra << shift
+        rng[:m] = ra
         model.update(b[:m], kind, x)
         a[:m], b[:m] = b[:m], x
     for _ in range(3):
-        out_lane.append(every)
-        out_word.append(low >> s32)
-        low = (low & low32) << s16
-    lane, word = np.concatenate(out_lane), np.concatenate(out_word).astype(np.int64)
-    order = np.argsort(lane.astype(np.uint16) if lanes <= 1 << 16 else lane, kind="stable")
-    lane, word = lane[order], word[order]
-    per = np.bincount(lane, minlength=lanes)
-    table = np.zeros((lanes, int(per.max())), np.int64)
-    col = np.arange(len(lane)) - np.repeat(np.cumsum(per) - per, per)
-    table[lane, col] = word
-    for j in range(table.shape[1] - 1, 0, -1):  # carries run towards the front
-        table[:, j - 1] += table[:, j] >> 16
-        table[:, j] &= 0xFFFF
-    return per, table[lane, col].astype("<u2")
+        sent.append(np.ones(lanes, bool))
+        words.append(low >> s32)
+        low = (low & low32) << u(16)
+    there, table = np.stack(sent), np.stack(words)  # sendings x lanes
+    carry = np.zeros(lanes, np.uint64)
+    for j in range(len(table) - 1, -1, -1):  # carries run towards the front, past what a lane didn't send
+        full = table[j] + carry
+        table[j] = full & u(0xFFFF)
+        carry = np.where(there[j], full >> u(16), carry)
+    return there.sum(0), table.astype("<u2").T[there.T]
 
 
 def decode_ids(n: int, t_max: int, vocabulary: int, per, words):
     import numpy as np
 
     lanes = len(per)
-    table = np.zeros((lanes, int(per.max()) + 4), np.uint64)
-    table[np.repeat(np.arange(lanes), per), np.arange(len(words)) - np.repeat(np.cumsum(per) - per, per)] = words
-    s16, least = np.uint64(16), np.uint64(1 << 32)
-    code = (table[:, 0] << np.uint64(32)) | (table[:, 1] << s16) | table[:, 2]
-    pos = np.full(lanes, 3, np.int64)
+    u = np.uint64
+    begin = np.cumsum(per) - per
+    words = np.concatenate([words.astype(np.uint64), np.zeros(8, np.uint64)])
+    code = (words[begin] << u(32)) | (words[begin + 1] << u(16)) | words[begin + 2]
+    pos, last = begin + 3, begin + per
     rng = np.full(lanes, 1 << 48, np.uint64)
-    model = _Model(vocabulary)
-
-    def take(at, start, f, r):
-        co, ra = code[at] - start.astype(np.uint64) * r, f.astype(np.uint64) * r
-        while True:
-            small = np.flatnonzero(ra < least)
-            if not len(small):
-                break
-            i = at[small]
-            co[small] = (co[small] << s16) | table[i, pos[i]]
-            pos[i] += 1
-            ra[small] <<= s16
-        code[at], rng[at] = co, ra
-
+    model = _Model(vocabulary, True)
+    least, top_mix, top_id = u(1 << 32), u((1 << _MIX_BITS) - 1), u((1 << _ID_BITS) - 1)
     out = np.zeros(n, np.int64)
     a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    every = np.arange(lanes)
     for t in range(t_max):
         m = lanes if (lanes - 1) * t_max + t < n else lanes - 1
         if not m:
             break
-        at = every[:m]
-        p2, p1, row = model.begin(a[:m], b[:m])
-        total = row.sum(1)
-        r = rng[:m] // total.astype(np.uint64)
-        v = np.minimum((code[:m] // r).astype(np.int64), total - 1)
-        kind = (v >= row[:, 0]).astype(np.int64) + (v >= row[:, 0] + row[:, 1])
-        before = np.stack([np.zeros(m, np.int64), row[:, 0], row[:, 0] + row[:, 1]], 1)
-        take(at, before[at, kind], row[at, kind], r)
-        x = np.where(kind == 0, p2, p1)
-        far = np.flatnonzero(kind == 2)
-        if len(far):
-            r = rng[far] // np.uint64(model.cum[-1])
-            v = np.minimum((code[far] // r).astype(np.int64), model.cum[-1] - 1)
-            y = np.searchsorted(model.cum, v, side="right") - 1
-            take(far, model.cum[y], model.freq[y], r)
-            x[far] = y
+        if t % REFRESH == 0:
+            model.refresh()
+        model.begin(a[:m], b[:m])
+        edges = model.edges.ravel()
+        co, ra = code[:m], rng[:m]
+        r = ra >> u(_MIX_BITS)
+        v = np.minimum(co // r, top_mix)
+        row = model.ctx * 4
+        kind = (v >= edges[row + 1]).astype(np.int64) + (v >= edges[row + 2])
+        start = edges[row + kind]
+        co = co - start * r
+        ra = (edges[row + kind + 1] - start) * r
+        far = kind == 2
+        r = ra >> u(_ID_BITS)
+        x = np.where(kind == 0, model.p2, model.p1).astype(np.int64)
+        w = np.flatnonzero(far)
+        x[w] = model.id_at[np.minimum(co[w] // r[w], top_id).astype(np.int64)]
+        co = co - np.where(far, model.start[x], u(0)) * r
+        ra = np.where(far, model.width[x], u(1 << _ID_BITS)) * r
+        while True:
+            small = ra < least
+            if not small.any():
+                break
+            shift = small * u(16)
+            here = pos[:m]
+            co = (co << shift) | np.where(small & (here < last[:m]), words[here], u(0))
+            ra = ra << shift
+            here += small
+        code[:m], rng[:m] = co, ra
         model.update(b[:m], kind, x)
         a[:m], b[:m] = b[:m], x
         out[t : t + (m - 1) * t_max + 1 : t_max] = x
