@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import deque
 
 import numpy as np
 
@@ -19,7 +20,8 @@ END_ID = 2
 #: A space before white space or the end; a boundary there isn't certain. str.isspace covers Unicode's set.
 _ODD = re.compile(r" (?:[\s᠎﻿]|\Z)")
 _SPLIT = re.compile(r" (?=[^\s᠎﻿])")
-MEMORY = 1_200_000
+MEMORY = 900_000
+RECENT = 6
 LONGEST_KEPT = 64
 
 
@@ -33,6 +35,7 @@ class ChunkMemory:
 
     def __init__(self, encode, memory: int = MEMORY):
         self.encode, self.memory, self.seen = encode, memory, {}
+        self.recent: deque[set[str]] = deque(maxlen=RECENT)
 
     def lists(self, texts: list[str]) -> list[list]:
         """For each text the values of its chunks."""
@@ -40,9 +43,16 @@ class ChunkMemory:
         heads = [s[0] for s in split]
         rest = [s[1:] for s in split]
         seen = self.seen
-        if len(seen) > self.memory:
-            seen.clear()
-        new = set().union(*rest).difference(seen) if rest else set()
+        if len(seen) > self.memory:  # what came up in two of the last calls stays
+            once: set[str] = set()
+            twice: set[str] = set()
+            for names in self.recent:
+                twice |= once & names
+                once |= names
+            self.seen = seen = {k: seen[k] for k in twice if k in seen}
+        names = set().union(*rest)
+        self.recent.append(names)
+        new = names.difference(seen)
         heads_new = list(set(heads))
         new = list(new)
         values = self.encode(heads_new + [" " + x for x in new])
