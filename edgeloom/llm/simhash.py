@@ -157,8 +157,16 @@ def link_edges(prints: DataFrame, radius: int, segments: int, words: int = 1, ba
                     pairs = [(0, 1)] if int(np.bitwise_count(f[a] ^ f[a + 1]).sum()) <= radius else []
                 else:
                     pairs = forest(f[a:b], radius)
+                # a tree becomes a star around its smallest document: buckets that meet the same group send the same edges
+                root: dict[int, int] = {}
                 for x, y in pairs:
-                    us.append(rep[a + x]), vs.append(rep[a + y])
+                    root[y] = root.setdefault(x, x)
+                least: dict[int, int] = {}
+                for x, r in root.items():
+                    least[r] = min(least.get(r, rep[a + x]), rep[a + x])
+                for x, r in root.items():
+                    if rep[a + x] != least[r]:
+                        us.append(rep[a + x]), vs.append(least[r])
             return pa.RecordBatch.from_arrays([pa.array(np.array(us, np.int64)), pa.array(np.array(vs, np.int64))], names=["u", "v"])
 
         rest = None
