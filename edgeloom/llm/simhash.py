@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, materialize, ship_package, shuffle_width, slices
+from .common import LOWER_BYTES, discard, materialize, ship_package, shuffle_width, slices
 from .components import connected_components
 
 SEED = 42
@@ -210,18 +210,235 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return g.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def radius_for(similarity: float, bits: int, slack: float = 1.5) -> int:
+def radius_for(similarity: float, bits: int, slack: float = 5) -> int:
     """Differing bits of ``bits`` to allow for at a Jaccard similarity of shingle sets: what random hyperplanes give on
-    average, and ``slack`` standard deviations more, so that most pairs at the similarity itself count."""
+    average, and ``slack`` standard deviations more, so that nearly all pairs at the similarity itself count."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id at a similarity of shingle sets: 128-bit fingerprints, eight segments of 16 bits, balls of
-    one bit, complete distance over all bits.
+def shingle_set(text: str, shingle: int):
+    """Distinct 64-bit hashes of a text's shingles, sorted."""
+    import numpy as np
+    import xxhash
+
+    w = text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
+    grams = {b" ".join(g) for g in zip(*(w[i:] for i in range(shingle)))} if len(w) > shingle else {b" ".join(w)} if w else set()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def set_mark(hashes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def set_print(hashes, words: int):
+    """The SimHash of a shingle set: like ``fingerprints_of``, each shingle counted once."""
+    import numpy as np
+
+    out, h = np.zeros(words, np.uint64), hashes
+    for j in range(words):
+        if j:
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * j)
+            h ^= h >> np.uint64(32)
+        if len(h):
+            ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            out[j] = np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]
+    return out
+
+
+def similar(a: int, b: int, common: int, percent: int) -> bool:
+    """Whether sets of a and b members with so many in common reach the Jaccard similarity, in whole numbers."""
+    return 100 * common >= percent * (a + b - common)
+
+
+def meeting_keys(hashes, frequent, percent: int):
+    """The first members of a set, in one order for all sets: two sets at the similarity share one of them for certain.
+
+    ``frequent`` (sorted hashes, their places) come last; that order decides the cost, never the result.
+    """
+    import numpy as np
+
+    n = len(hashes)
+    first = n - -(-percent * n // 100) + 1
+    place = np.zeros(n, np.int64)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], hashes), len(frequent[0]) - 1)
+        place = np.where(frequent[0][at] == hashes, frequent[1][at], 0)
+    return hashes[np.lexsort((hashes, place))[:first]]
+
+
+#: a sample of documents, one in so many, tells frequent shingles; at most so many of them
+SAMPLE, MOST_FREQUENT = 64, 50_000
+#: candidates a document names in a bucket in the first round, and how much that grows each round
+NAMED, GROWTH = 4, 8
+
+
+def _frequent_shingles(rows: DataFrame, shingle: int):
+    """(sorted hashes, their places from 1) of shingles that several sampled documents hold. Bounded; for the order only."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, text=1):
+                sets = [shingle_set(t or "", shingle) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
+
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "h long")
+    top = some.groupBy("h").count().where("count >= 5").orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).collect()
+    h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+    at = np.argsort(h)
+    return h[at], (len(h) - np.arange(len(h)))[at]
+
+
+def candidates(label, rep, size, f, radius: int, percent: int, limit: int):
+    """(pairs of rows, whether a row has named ``limit`` and may have more) in one bucket, whose rows rise by ``rep``.
 
-    Every pair that differs by at most 15 bits is found, and some nine in ten of those that differ by 19 (what a
-    similarity of 0.8 gives on average); unrelated texts lie near 64 bits, far beyond the radius.
+    Each row names the first ``limit`` earlier rows of other groups that size and Hamming distance allow.
     """
-    return group(fingerprints(docs, text, doc_id, shingle, 2), radius_for(similarity, 128), 8, 2, 1).select("doc_id", "component_id")
+    import numpy as np
+
+    pairs, cut = [], False
+    left, named = np.arange(len(rep)), np.zeros(len(rep), np.int64)
+    if len(left) and (label == label[0]).all():
+        return pairs, cut
+    for i in range(len(rep) - 1):
+        left = left[np.searchsorted(left, i + 1) :]
+        if not len(left):
+            break
+        ok = (label[left] != label[i]) & (100 * np.minimum(size[left], size[i]) >= percent * np.maximum(size[left], size[i]))
+        at = left[ok]
+        at = at[np.bitwise_count(f[at] ^ f[i]).sum(1, dtype=np.int64) <= radius]
+        if len(at):
+            pairs += [(j, i) for j in at.tolist()]
+            named[at] += 1
+            if named[at].max() >= limit:
+                cut = True
+                left = left[named[left] < limit]
+    return pairs, cut
+
+
+def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, words: int = 2) -> DataFrame:
+    """doc_id, component_id at a Jaccard similarity of shingle sets (a whole percentage).
+
+    Equal sets stand as one. Documents meet on the first members of their sets (``meeting_keys``), where every pair
+    at the similarity meets for certain. In a bucket, 128-bit SimHash distances within a wide radius leave few pairs,
+    and each of those is a link only when the exact Jaccard similarity of the two sets says so.
+
+    A document first names a few candidates in each bucket. Buckets where one may have more come again in a further
+    round, with a larger number and without pairs already in one group, until none is left: a large group costs a few
+    pairs a document, and no pair of different groups stays uncompared.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    percent = round(100 * similarity)
+    radius = radius_for(similarity, 64 * words)
+    cols = [f"f{j}" for j in range(words)]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    shared = spark.sparkContext.broadcast(_frequent_shingles(rows, shingle))
+    # a set with a partner other than its equals has enough members to miss one
+    least = -(-percent // (100 - percent)) if percent < 100 else None
+
+    def prints(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        frequent = shared.value
+        for batch in batches:
+            for part in slices(batch, text=1):
+                sets = [shingle_set(t or "", shingle) for t in part.column(1).to_pylist()]
+                f = np.stack([set_print(h, words) for h in sets]).view(np.int64)
+                keys = [meeting_keys(h, frequent, percent).view(np.int64) if least and len(h) >= least else [] for h in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_mark(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), *(pa.array(np.ascontiguousarray(f[:, j])) for j in range(words)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "size", *cols, "keys"])
+
+    known = materialize(rows.mapInArrow(prints, "doc_id long, mark long, size int, " + ", ".join(f"{c} long" for c in cols) + ", keys array<long>"), "prints")
+    first = known.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep"))
+    reps = known.join(first, "mark").where("doc_id = rep").dropDuplicates(["rep", "mark"]).where(F.size("keys") > 0).select("rep", "mark", "size", *cols, "keys")
+    reps = materialize(reps, "reps")
+
+    def bucket_with(limit):
+        def bucket(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            def of(key, part):
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+                out, again = [], []
+                for i in np.flatnonzero(np.diff(cut) > 1).tolist():
+                    a, b = cut[i], cut[i + 1]
+                    rep, mark, label, size, f = (x[a:b] for x in part)
+                    pairs, more = candidates(label, rep, size, f, radius, percent, limit)
+                    out += [(rep[x], mark[x], rep[y], mark[y], None) for x, y in pairs]
+                    if more:
+                        again.append((None, None, None, None, key[a]))
+                return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, *again)] or [pa.array([], pa.int64())] * 5, names=["u", "u_mark", "v", "v_mark", "again"])
+
+            rest = None
+            for batch in batches:
+                new = [batch.column(i).to_numpy() for i in range(5)] + [np.stack([batch.column(5 + j).to_numpy().view(np.uint64) for j in range(words)], 1)]
+                if not len(new[0]):
+                    continue
+                if rest is not None:
+                    new = [np.concatenate(x) for x in zip(rest, new)]
+                whole = int(np.searchsorted(new[0], new[0][-1]))  # sorted: the last bucket may go on
+                if whole:
+                    yield of(new[0][:whole], [x[:whole] for x in new[1:]])
+                rest = [x[whole:] for x in new]
+            if rest is not None:
+                yield of(rest[0], rest[1:])
+
+        return bucket
+
+    def to_sets(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, text=2):
+                sets = [shingle_set(t or "", shingle) for t in part.column(2).to_pylist()]
+                keep = [i for i, (h, m) in enumerate(zip(sets, part.column(1).to_pylist())) if set_mark(h) == m]
+                if keep:
+                    at = pa.array(keep)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["k", "m", "members"])
+
+    def confirm(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, rows=256):
+                keep = []
+                for i, (a, b) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                    if similar(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True)), percent):
+                        keep.append(i)
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at)], names=["u", "v"])
+
+    links = found = keys = None
+    limit = NAMED
+    while True:
+        now = reps.withColumn("label", F.col("rep")) if found is None else reps.join(found, reps["rep"] == found["node"], "left").withColumn("label", F.coalesce("component", "rep"))
+        visits = now.select(F.explode("keys").alias("key"), "rep", "mark", "label", "size", *cols)
+        if keys is not None:
+            visits = visits.join(keys, "key", "left_semi")
+        dealt = visits.repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "rep", "mark")
+        named = materialize(dealt.mapInArrow(bucket_with(limit), "u long, u_mark long, v long, v_mark long, again long"), "named")
+        pairs = named.where("u is not null").select("u", "u_mark", "v", "v_mark").distinct()
+        ends = pairs.select(F.col("u").alias("k"), F.col("u_mark").alias("m")).unionByName(pairs.select(F.col("v").alias("k"), F.col("v_mark").alias("m"))).distinct()
+        sets = materialize(rows.join(ends, rows["doc_id"] == ends["k"]).select("k", "m", "text").mapInArrow(to_sets, "k long, m long, members binary").dropDuplicates(["k", "m"]), "sets")
+        mine, theirs = (sets.select(F.col("k").alias(c), F.col("m").alias(f"{c}_mark"), F.col("members").alias(f"{c}_set")) for c in "uv")
+        both = pairs.join(mine, ["u", "u_mark"]).join(theirs, ["v", "v_mark"]).select("u", "v", "u_set", "v_set")
+        new = materialize(both.mapInArrow(confirm, "u long, v long"), "links")
+        discard(sets)
+        links = new if links is None else links.unionByName(new)
+        found = materialize(connected_components(links), "components")
+        keys = named.where("again is not null").select(F.col("again").alias("key")).distinct()
+        if keys.isEmpty():
+            break
+        limit *= GROWTH
+    named = first.join(found, first["rep"] == found["node"], "left").select(F.col("mark").alias("its"), F.coalesce("component", "rep").alias("component_id"))
+    joined = known.join(named, known["mark"] == named["its"], "left")
+    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

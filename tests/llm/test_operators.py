@@ -389,6 +389,18 @@ def test_near_duplicates_at_stage_settings(spark):
     assert hit >= 0.95 * len(want) and all(got[i] >= w for i, w in enumerate(want))
 
 
+def test_pairs_at_exactly_the_similarity(spark):
+    """900 shingles each, 800 in common: Jaccard 0.8. Every such group of two is found."""
+    texts = []
+    for g in range(150):
+        w = [f"g{g}w{k}" for k in range(904)]
+        texts += [" ".join(w), " ".join(w[:804] + [f"n{g}x{k}" for k in range(100)])]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    assert all(100 * len(np.intersect1d(a, b)) == 80 * len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2]))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(docs_frame(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 # ops 2 and 10
 
 
