@@ -401,6 +401,31 @@ def test_pairs_at_exactly_the_similarity(spark):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_links_are_verified(spark):
+    """Below the similarity nothing is linked, whatever the distance of the fingerprints; and every link of a crowd is found."""
+    rng = random.Random(14)
+    texts = []
+    for g in range(60):
+        w = [f"g{g}w{k}" for k in range(904)]
+        texts += [" ".join(w), " ".join(w[:774] + [f"n{g}x{k}" for k in range(130)])]  # 770 of 1030: 0.748
+    texts += [f"{'spam ' * 200}{words(rng, 40)}" for _ in range(10)]
+    base = words(rng, 120).split()
+    for _ in range(60):
+        v = list(base)
+        for k in rng.sample(range(120), 3):
+            v[k] = f"c{rng.random()}"
+        texts.append(" ".join(v))
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(docs_frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == root and root[:130] == list(range(130))
+
+
 # ops 2 and 10
 
 
