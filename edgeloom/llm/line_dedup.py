@@ -49,7 +49,8 @@ def line_hashes(text: str) -> tuple[list[bytes], list[int]]:
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned positions (i, j) with a[i] == b[j], rising in both: equal ends, then lines unique in both sides by
-    their longest rising run, then the same between them. Without such lines a stretch isn't aligned further."""
+    their longest rising run, then the same between them. In a stretch without such lines the k-th occurrences of a
+    line in both sides stand for them."""
     out = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -70,6 +71,15 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
             if a_at := once.get(b[j], -1) + 1:
                 seen[b[j]] = (-1, -1) if b[j] in seen else (a_at - 1, j)
         pairs = sorted((j, i) for i, j in seen.values() if i >= 0)
+        if not pairs:
+            places: dict = {}
+            for i in range(lo1, hi1):
+                places.setdefault(a[i], []).append(i)
+            met: dict = {}
+            for j in range(lo2, hi2):
+                k = met[b[j]] = met.get(b[j], -1) + 1
+                if k < len(places.get(b[j], ())):
+                    pairs.append((j, places[b[j]][k]))
         if not pairs:
             continue
         tails: list[int] = []  # patience piles: last i of the best run of each length
@@ -98,18 +108,20 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def covered_lines(own: list[bytes], partner: list[bytes]) -> list[int]:
-    """Positions of ``own`` in blocks that patience diff aligns with ``partner``; blank lines alone cover nothing.
+    """Positions of ``own`` in blocks that patience diff aligns with ``partner``; blank lines cover nothing.
 
-    What is left is aligned again, until nothing is found: a passage can stand twice in the later document.
+    What is left is aligned again, until no common line is: a passage can stand twice in either document. All copies
+    of a line count with the first that is aligned, as later passes would find them.
     """
-    left, covered = list(range(len(own))), []
+    partner = [h for h in partner if h]
+    left, covered = [i for i, h in enumerate(own) if h], []
     while True:
-        found = {left[i] for i, _ in patience([own[i] for i in left], partner)}
-        found = {i for i in found if own[i]}
-        if not found:
+        met = {own[left[i]] for i, _ in patience([own[i] for i in left], partner)}
+        if not met:
             return sorted(covered)
-        covered += found
-        left = [i for i in left if i not in found and own[i]]
+        covered += [i for i in left if own[i] in met]
+        left = [i for i in left if own[i] not in met]
+        partner = [h for h in partner if h not in met]
 
 
 def deleted_lines(covered, words: list[int], min_words: int) -> set[int]:

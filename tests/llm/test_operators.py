@@ -254,6 +254,15 @@ def test_patience():
         assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
 
 
+def test_doubled_passages_in_the_middle():
+    one, two = list("zABCv"), list("oABCxABCq")
+    assert line_dedup.covered_lines(two, one) == [1, 2, 3, 5, 6, 7]
+    assert line_dedup.covered_lines(list("oABCq"), list("zABCxABCv")) == [1, 2, 3]
+    assert line_dedup.covered_lines(list("oABCyABCq"), list("zABCxABCv")) == [1, 2, 3, 5, 6, 7]
+    assert line_dedup.covered_lines(["o", "", "A", "", "q"], ["z", "", "A", "", "x", "", "A", "v"]) == [2]
+    assert len(line_dedup.covered_lines(["o"] + ["A"] * 20_000 + ["q"], ["z", "A", "x", "A", "v"])) == 20_000
+
+
 def test_line_dedup(spark, sf):
     rng = random.Random(6)
     passage = "\n".join(words(rng, 20) for _ in range(3))  # 60 words
