@@ -1,14 +1,19 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through the hashes of shared lines: each line hash leads from a document to the
-first document (smallest id) that holds the line, and from a rare line's documents to all earlier ones among them.
-Each such pair is aligned by patience diff on line hashes; the lines of the later document that lie in aligned common
-blocks are covered. Runs of covered lines of at least ``min_words`` words are deleted from the later document; the
-first document keeps its lines.
+Documents that overlap are found through the hashes of shared lines of ``ANCHOR_WORDS`` words or more: each line hash
+leads from a document to the first document (smallest id) that holds the line, and from a rare line's documents to all
+earlier ones among them. Each such pair is aligned by patience diff on line hashes; the lines of the later document
+that lie in aligned common blocks are covered. Runs of covered lines of at least ``min_words`` words are deleted from
+the later document; the first document keeps its lines.
 
-Going to the first holder gives one pair for each line and document, however many documents share the line; the
-pairs among a rare line's documents are bounded by ``rare``. No line is left out: the first holder serves frequent
-ones.
+What stays is held against whole passages: from each line on and up to each line, the shortest run of lines of
+``min_words`` words leads to the first document that holds this run. Runs of ``min_words`` words that alignment with
+these covers, among the lines that stay, are deleted too. A passage of that length is made of such runs (those from
+its first lines on, and the one up to its last line), so none that an earlier document holds stays, however short its
+lines are and however many documents hold them. Fewer words beside a deleted run stay.
+
+Going to the first holder gives one pair for each line or run and document, however many documents share it; the
+pairs among a rare line's documents are bounded by ``rare``.
 
 Defined cases: null text stays null and takes no part; a null id takes no part and its text stays; rows that share
 an id count as one document for pairing (they are never paired with each other), each is aligned and cut on its own;
@@ -47,6 +52,39 @@ def line_hashes(text: str) -> tuple[list[bytes], list[int]]:
     return hashes, words
 
 
+def anchors(hashes: list[bytes], words: list[int], min_words: int) -> set[int]:
+    """64-bit hashes that documents meet on: even ones of single lines, odd ones of the shortest runs of lines with
+    ``min_words`` words; blank lines don't part a run."""
+    import xxhash
+
+    full = [i for i, n in enumerate(words) if n]
+    value = lambda h: int.from_bytes(h[:8], "little", signed=True)
+    found = {value(hashes[i]) & ~1 for i in full if words[i] >= ANCHOR_WORDS}
+
+    def run(lo, hi):  # of full, both included
+        if hi > lo or words[full[lo]] < ANCHOR_WORDS:  # a longer line alone is met as such
+            found.add(value(xxhash.xxh3_64_digest(b"".join(hashes[i] for i in full[lo : hi + 1]))) | 1)
+
+    lo = total = 0
+    for hi, i in enumerate(full):
+        total += words[i]
+        while total - words[full[lo]] >= min_words:  # the shortest run up to this line
+            total -= words[full[lo]]
+            lo += 1
+        if total >= min_words:
+            run(lo, hi)
+    hi = total = 0
+    for lo in range(len(full)):  # the shortest run from this line on
+        while hi < len(full) and total < min_words:
+            total += words[full[hi]]
+            hi += 1
+        if total < min_words:
+            break
+        run(lo, hi - 1)
+        total -= words[full[lo]]
+    return found
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned positions (i, j) with a[i] == b[j], rising in both: equal ends, then lines unique in both sides by
     their longest rising run, then the same between them. In a stretch without such lines the k-th occurrences of a
@@ -143,6 +181,21 @@ def deleted_lines(covered, words: list[int], min_words: int) -> set[int]:
     return gone
 
 
+def all_deleted(by_line, covered, words: list[int], min_words: int) -> set[int]:
+    """Lines that the pairs by single lines delete, and runs among the others that all pairs cover."""
+    gone = deleted_lines(by_line, words, min_words)
+    run: list[int] = []
+    more: set[int] = set()
+    for i in range(len(words) + 1):
+        if i < len(words) and i not in gone:
+            run.append(i)
+            continue
+        own = set(run).intersection(covered)
+        more |= {run[k] for k in deleted_lines({i - run[0] for i in own}, [words[i] for i in run], min_words)} if own else set()
+        run = []
+    return gone | more
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, rare: int = RARE, n_chars: str | None = None) -> DataFrame:
     """``docs`` with repeated passages cut from all but the first document that holds them.
 
@@ -157,27 +210,29 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
 
         for batch in batches:
             for part in slices(batch, text=1):
-                ids, marks, seqs, words = [], [], [], []
+                ids, marks, seqs, words, meet = [], [], [], [], []
                 for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     h, w = line_hashes(t)
                     ids.append(d)
                     marks.append(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63))
                     seqs.append(h)
                     words.append(w)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(seqs, pa.list_(pa.binary())), pa.array(words, pa.list_(pa.int32()))], names=["d", "mark", "seq", "words"])
+                    meet.append(list(anchors(h, w, min_words)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(seqs, pa.list_(pa.binary())), pa.array(words, pa.list_(pa.int32())), pa.array(meet, pa.list_(pa.int64()))], names=["d", "mark", "seq", "words", "anchors"])
 
     usable = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    lines = materialize(usable.mapInArrow(hashes, "d long, mark long, seq array<binary>, words array<int>").distinct(), "lines")
+    hashed = usable.mapInArrow(hashes, "d long, mark long, seq array<binary>, words array<int>, anchors array<long>")
+    lines = materialize(hashed.dropDuplicates(["d", "mark"]), "lines")
 
-    each = lines.select("d", "mark", F.explode(F.arrays_zip("seq", "words")).alias("x")).where(F.col("x.words") >= ANCHOR_WORDS).select("d", "mark", F.col("x.seq").alias("h")).distinct()
+    each = lines.select("d", "mark", F.explode("anchors").alias("h"))
     # partial aggregation first: a line that a third of all documents hold is one row a task by then
     firsts = each.groupBy("h").agg(F.min(F.struct("d", "mark")).alias("first"), F.max("d").alias("last"), F.count("*").alias("n")).where(F.col("first.d") < F.col("last"))
     shared = each.join(firsts, "h")
-    with_first = shared.where(F.col("d") > F.col("first.d")).select("d", "mark", F.col("first.d").alias("p"), F.col("first.mark").alias("p_mark"))
+    with_first = shared.where(F.col("d") > F.col("first.d")).select("d", "mark", F.col("first.d").alias("p"), F.col("first.mark").alias("p_mark"), ((F.col("h") % 2) == 0).alias("by_line"))
     # a rare line's documents: at most ``rare``, so at most rare * (rare - 1) / 2 pairs a line
-    few = shared.where(F.col("n").between(3, rare)).groupBy("h").agg(F.collect_list(F.struct("d", "mark")).alias("all"))
-    among = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where(F.col("x.d") > F.col("y.d")).select(F.col("x.d").alias("d"), F.col("x.mark").alias("mark"), F.col("y.d").alias("p"), F.col("y.mark").alias("p_mark"))
-    pairs = materialize(with_first.unionByName(among).distinct(), "pairs")
+    few = shared.where(F.col("n").between(3, rare) & (F.col("h") % 2 == 0)).groupBy("h").agg(F.collect_list(F.struct("d", "mark")).alias("all"))
+    among = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where(F.col("x.d") > F.col("y.d")).select(F.col("x.d").alias("d"), F.col("x.mark").alias("mark"), F.col("y.d").alias("p"), F.col("y.mark").alias("p_mark"), F.lit(True).alias("by_line"))
+    pairs = materialize(with_first.unionByName(among).groupBy("d", "mark", "p", "p_mark").agg(F.max("by_line").alias("by_line")), "pairs")
 
     theirs = lines.select(F.col("d").alias("p"), F.col("mark").alias("p_mark"), F.col("seq").alias("p_seq"))
     own = lines.select("d", "mark", "seq")
@@ -189,16 +244,17 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
         for batch in batches:
             for part in slices(batch, rows=256):
                 cov = [covered_lines(a, b) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cov, pa.list_(pa.int32()))], names=["d", "mark", "at"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(4), pa.array(cov, pa.list_(pa.int32()))], names=["d", "mark", "by_line", "at"])
 
-    covered = aligned.select("d", "mark", "seq", "p_seq").mapInArrow(align, "d long, mark long, at array<int>")
-    union = covered.groupBy("d", "mark").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")).where(F.size("at") > 0)
+    covered = aligned.select("d", "mark", "seq", "p_seq", "by_line").mapInArrow(align, "d long, mark long, by_line boolean, at array<int>")
+    lists = {"at": F.col("at"), "by_line": F.when(F.col("by_line"), F.col("at"))}  # collect_list leaves nulls out
+    union = covered.groupBy("d", "mark").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(n) for n, c in lists.items())).where(F.size("at") > 0)
     cuts = materialize(union.join(lines.select("d", "mark", "words"), ["d", "mark"]), "cuts")
 
     # only documents with a cut meet their positions; hashes of whole texts keep rows of one id apart
     out_cols = docs.columns
     plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in out_cols)).alias("row"), F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    met = plain.join(cuts.groupBy("d").agg(F.collect_list(F.struct("mark", "at", "words")).alias("cuts")), "d", "left")
+    met = plain.join(cuts.groupBy("d").agg(F.collect_list(F.struct("mark", "at", "by_line", "words")).alias("cuts")), "d", "left")
 
     def cut(batches):
         import pyarrow as pa
@@ -212,7 +268,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
                         mark = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
                         for c in found:
                             if c["mark"] == mark:
-                                gone = deleted_lines(c["at"], c["words"], min_words)
+                                gone = all_deleted(c["by_line"], c["at"], c["words"], min_words)
                                 if gone:
                                     t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
                                 break

@@ -263,6 +263,17 @@ def test_doubled_passages_in_the_middle():
     assert len(line_dedup.covered_lines(["o"] + ["A"] * 20_000 + ["q"], ["z", "A", "x", "A", "v"])) == 20_000
 
 
+def test_passages_that_many_share(spark):
+    """Earlier documents hold single lines of a passage; the short lines between them must not save it."""
+    rng = random.Random(16)
+    long = [words(rng, 20) for _ in range(3)]
+    passage = "\n".join([long[0], "Of.", long[1], "Be.", long[2]])
+    texts = [*long, *(f"own words of {i}\n{passage}\nand the end {i}" for i in range(6))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_frame(spark, texts)).collect()}
+    assert [got[i] for i in range(4)] == texts[:4]
+    assert all(got[i] == f"own words of {i - 3}\nand the end {i - 3}" for i in range(4, 9))
+
+
 def test_line_dedup(spark, sf):
     rng = random.Random(6)
     passage = "\n".join(words(rng, 20) for _ in range(3))  # 60 words
