@@ -274,6 +274,14 @@ def test_passages_that_many_share(spark):
     assert all(got[i] == f"own words of {i - 3}\nand the end {i - 3}" for i in range(4, 9))
 
 
+def test_passages_of_short_lines(spark):
+    verse = "\n".join(f"so{i} on{i}" if i % 2 else f"and{i}\n" for i in range(40))  # 60 words, no line of four
+    texts = [f"first text\n{verse}\nends", *(f"other text {i}\n{verse}\nstops {i}" for i in range(5)), "so1 on1\nand2\nso3 on3"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_frame(spark, texts)).collect()}
+    assert got[0] == texts[0] and got[6] == texts[6]
+    assert all(got[i + 1] == f"other text {i}\nstops {i}" for i in range(5))
+
+
 def test_line_dedup(spark, sf):
     rng = random.Random(6)
     passage = "\n".join(words(rng, 20) for _ in range(3))  # 60 words
