@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
-A word's input is its hashed word embedding and the mean of the embeddings of its character trigrams. A window of
+A word's input is its hashed word embedding and the mean of the embeddings of its character trigrams; a long run
+without white space counts as several words, which cover all of it. A window of
 words runs through a forward and a backward gated recurrent layer; attention pools the states, and a logistic unit
 scores the window. Windows of ``WINDOW`` words overlap by half and cover the whole text; a text's score is that of
 its highest window.
@@ -30,21 +31,32 @@ THRESHOLD = 0.5
 MODULUS, HELD_OUT = 5, 0
 WINDOW, STRIDE = 24, 12
 WORD_ROWS, GRAM_ROWS, EMBED, HIDDEN, ATTEND = 1 << 14, 1 << 12, 12, 10, 8
-LONGEST_WORD = 40
+#: bytes up to which a run without white space is one word; characters of the pieces of longer ones, and how many two share
+LONGEST_WORD, PIECE, SHARED = 78, 18, 2
 MEMORY = 150_000
 LEAST_STEPS = 300
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_PART = re.compile(r"[^\W_]+[\W_]*|[\W_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text. Longer runs without white space count as several: cut after marks, then into pieces that
+    share two characters, so that no character and no trigram of a piece is left out."""
+    out = []
+    for w in text.split():
+        if len(w) * 4 <= LONGEST_WORD or len(w.encode("utf-8", "surrogatepass")) <= LONGEST_WORD:
+            out.append(w)
+            continue
+        for part in _PART.findall(w):
+            out += [part[i : i + PIECE] for i in range(0, max(1, len(part) - SHARED), PIECE - SHARED)]
+    return out
 
 
 def _features(word: str) -> tuple[int, list[int]]:
     """(word row, trigram rows) of a word, without the marks around it and its case."""
     w = _EDGE.sub("", word).lower() or word
     raw = ("<" + w + ">").encode("utf-8", "surrogatepass")
-    if len(raw) > LONGEST_WORD:  # a very long word: its trigrams at even distances over all of it
-        step = len(raw) // LONGEST_WORD
-        grams = [raw[i : i + 3] for i in range(0, len(raw) - 2, step)]
-    else:
-        grams = [raw[i : i + 3] for i in range(max(1, len(raw) - 2))]
+    grams = [raw[i : i + 3] for i in range(max(1, len(raw) - 2))]
     return zlib.crc32(raw) % WORD_ROWS, [zlib.crc32(g) % GRAM_ROWS for g in grams]
 
 
@@ -229,7 +241,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 11):
         return None
     rng = np.random.default_rng(seed)
     vocabulary = _Vocabulary()
-    texts = [vocabulary.rows(t.split()) for t, _ in rows]
+    texts = [vocabulary.rows(words_of(t)) for t, _ in rows]
     words, grams, counts = vocabulary.arrays()
     del vocabulary
     gram_at = np.cumsum(counts) - counts
@@ -318,7 +330,7 @@ class Scorer:
         p, slope, offset = self.model
         if len(self.vocabulary.words) > MEMORY:
             self.vocabulary, self.table = _Vocabulary(), None
-        rows = [self.vocabulary.rows(t.split()) for t in texts]
+        rows = [self.vocabulary.rows(words_of(t)) for t in texts]
         have = 0 if self.table is None else len(self.table)
         if have < len(self.vocabulary.words):
             new = _inputs(p, *self.vocabulary.arrays(have)) @ p["wx"] + p["bx"]

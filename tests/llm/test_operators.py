@@ -546,6 +546,24 @@ def test_windows_cover_all_words():
         assert all(b - a <= toxicity.STRIDE for a, b in zip(starts, starts[1:]))
 
 
+def test_long_words_are_read_whole():
+    rng = random.Random(18)
+    for sep in ("", ".", "_", "\U0001f600"):
+        long = sep.join(rng.choice(["abc", "日本語", "défg", "xyz1"]) for _ in range(3000))
+        got = toxicity.words_of(f"{long} end")
+        assert max(len(w.encode()) for w in got) <= 80 and got[-1] == "end" and set("".join(got[:-1])) == set(long)
+        bare = [w for w in got[:-1] if len(w) > 2]
+        assert {long[i : i + 3] for i in range(len(long) - 2) if long[i : i + 3].isalnum()} <= {w[i : i + 3] for w in bare for i in range(len(w) - 2)}
+    assert toxicity.words_of("a" * 78) == ["a" * 78] and toxicity.words_of("." * 100) and toxicity.words_of(" \n") == []
+    rows = [(f"{'bad awful ' * 3}{i} word", 1) for i in range(30)] + [(f"nice fine {i} word", 0) for i in range(30)]
+    scorer = toxicity.Scorer(toxicity.fit(rows, epochs=10))
+    clean = ["nice", "fine", "word"] * 600
+    for at in (100, 777, 1500):
+        joined = [".".join(clean), ".".join([*clean[:at], *["bad", "awful"] * 8, *clean[at:]])]
+        low, high = scorer.scores(joined)
+        assert low < 0.5 < high
+
+
 def test_scores_of_odd_texts(spark):
     rows = [(f"{'bad awful ' * 3}{i} word", 1) for i in range(30)] + [(f"nice fine {i} word", 0) for i in range(30)]
     frame = docs_frame(spark, [*ODD, "bad awful"], [*range(len(ODD)), None])
