@@ -3,8 +3,8 @@
 Every text node has a root-to-leaf tag path. For each path the page's nodes are aggregated: characters of text and
 punctuation marks, each over the number of nodes. The two ratios are smoothed along the page with a Gaussian window,
 fused by their product (a path whose nodes hold long, punctuated text scores high), and paths at or above a
-threshold derived from the page's own scores select the content. The region under which the selected paths lie then
-completes the article: its headings and short paragraphs belong to it, whatever their length.
+threshold derived from the page's own scores select the content. The smallest element that holds everything selected
+then completes the article: its headings and short paragraphs belong to it, whatever their length.
 
 Elements that never hold article text (navigation, page headers and footers, asides, forms, scripts, styles and
 elements whose class, id or role names them as advert, menu, notice, sidebar or comments) are left out of the paths.
@@ -191,7 +191,7 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     chosen = content_paths(blocks)
-    # weigh every element by the content text under it; the region is the deepest that holds nearly all of it
+    # weigh every element by the content text under it; the region is the deepest that holds all of it
     weight: dict[int, int] = {}
     depth: dict[int, int] = {}
     kind: dict[int, str] = {}
@@ -205,11 +205,11 @@ def main_text(page: str | None) -> str:
             depth[n] = d
             if len(tags) == len(chain):
                 kind[n] = tags[d]
-    marked = [n for n, k in kind.items() if k in ("article", "main") and weight[n] * 2 >= total]
+    marked = [n for n, k in kind.items() if k in ("article", "main") and weight[n] == total]
     if marked:
         region = max(marked, key=lambda n: depth[n])
     else:
-        holders = [n for n in weight if weight[n] * 10 >= total * 9 and kind.get(n) not in ("p", "li", "td", "pre", "blockquote", "h1")]
+        holders = [n for n in weight if weight[n] == total and kind.get(n) not in ("p", "li", "td", "pre", "blockquote", "h1")]
         region = max(holders, key=lambda n: depth[n]) if holders else 0
     return "\n\n".join(text for path, chain, text in blocks if region in chain)
 

@@ -122,6 +122,17 @@ def test_html():
     assert html_text.main_text("<article><p>one, two.<article><p>x</article>") == "one, two.\n\nx"
 
 
+def test_html_keeps_all_selected_blocks():
+    long = [f"Paragraph {i} goes on for a while, with commas, and then some more words; it ends." for i in range(25)]
+    p = lambda some: "".join(f"<p>{x}</p>" for x in some)
+    story = f'<body><div class="story"><div>{p(long[:23])}</div><div>{p(long[23:])}</div></div></body>'
+    assert html_text.main_text(story).split("\n\n") == long
+    two = f"<body><main><article><h2>One</h2>{p(long[:15])}</article><article><h2>Two</h2>{p(long[15:])}</article></main><footer>Us.</footer></body>"
+    assert html_text.main_text(two).split("\n\n") == ["One", *long[:15], "Two", *long[15:]]
+    head = f"<body><div><h1>{long[0]}</h1><div>{p(long[1:])}</div></div></body>"
+    assert html_text.main_text(head).split("\n\n") == long
+
+
 def test_html_table(spark, sf):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, None, None, "y"), (None, "v", "<p>Hi, you.", "z")], "page_id long, url string, html string, text string")
     got = {(r["page_id"], r["url"]): (r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()}
