@@ -1,12 +1,13 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Every line is labelled good or bad from its own shape (lengths, kinds of characters, repeated words) and that of the
-lines before and after it. The field is fitted by gradient ascent on the likelihood of labelled documents, whose
-lines take the document's label. A document's quality is the mean of its lines' forward-backward marginals of good,
+lines before and after it. The field is fitted by gradient ascent on the log-likelihood of labelled documents, whose
+lines take the document's label, each weighted by one over its lines. A document's quality is the mean of its lines' forward-backward marginals of good,
 weighted by line length.
 
 Defined cases: null and empty texts are one empty line; null or repeated ids keep their rows; other columns are
-ignored; an empty table gives an empty result; without labelled rows the score is 0.5.
+ignored; an empty table gives an empty result; without labelled rows of both kinds the score is 0.5 and
+``keep_good`` keeps all rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ THRESHOLD = 0.7
 MODULUS, HELD_OUT = 4, 2
 _KINDS = 8  # space, lower or other letter, upper, digit, sentence mark, exclamation, bar, symbol
 BASE = 14
+#: lines that forward-backward takes one after another
+STEP = 32
 
 
 def _kind_table():
@@ -106,42 +109,100 @@ def with_neighbours(x, n_lines):
     return np.concatenate([x, before, after], 1)
 
 
-def marginals(theta, trans, n_lines):
-    """(P(good) of each line, expected transition counts) by forward-backward over all documents at once.
+def _times(a, b):
+    """Products of 2 x 2 matrices: rows 00, 01, 10, 11 relative to the largest, and the logarithm of that."""
+    import numpy as np
+
+    out = np.empty_like(a)
+    for i in (0, 2):
+        for j in (0, 1):
+            out[i + j] = a[i] * b[j] + a[i + 1] * b[2 + j]
+    top = out[:4].max(0)
+    out[:4] /= top
+    out[4] = a[4] + b[4] + np.log(top)
+    return out
+
+
+def _prefixes(m, sizes):
+    """Products of all matrices up to each one, inside chains of the given sizes. Chains are cut into blocks of ``STEP``
+    that advance in step; the blocks' own products form shorter chains: some STEP * log(longest) steps for any length."""
+    import numpy as np
+
+    out = m.copy()
+    if not len(sizes) or sizes.max() <= 1:
+        return out
+    begin = np.cumsum(sizes) - sizes
+    blocks = -(-sizes // STEP)
+    many = np.repeat(np.arange(len(sizes)), blocks)
+    at = (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STEP
+    first = begin[many] + at
+    length = np.minimum(STEP, sizes[many] - at)
+    for t in range(1, int(length.max())):
+        i = first[length > t] + t
+        out[:, i] = _times(out[:, i - 1], m[:, i])
+    if blocks.max() > 1:
+        whole = _prefixes(out[:, first + length - 1], blocks)
+        later = np.flatnonzero(at > 0)  # blocks with others before them
+        size = length[later]
+        i = np.repeat(first[later] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        out[:, i] = _times(np.repeat(whole[:, later - 1], size, axis=1), out[:, i])
+    return out
+
+
+def marginals(theta, trans, n_lines, weight=None):
+    """(P(good) of each line, expected transition counts, log of each document's sum over labellings) by
+    forward-backward over all documents at once; ``weight`` of each document scales its transition counts.
 
     theta: score of good of each line; trans[i, j]: score of state j after state i."""
     import numpy as np
 
     total = len(theta)
-    order = np.argsort(-n_lines, kind="stable")
-    begin = (np.cumsum(n_lines) - n_lines)[order]
-    length = n_lines[order]
-    alpha, beta = np.zeros((total, 2)), np.zeros((total, 2))
-    alpha[:, 1] = theta
-    longest = int(length[0]) if len(length) else 0
-    live = [int(np.searchsorted(-length, -t, side="left")) for t in range(longest + 1)]  # documents with more than t lines
-    for t in range(1, longest):
-        at = begin[: live[t]] + t
-        a = alpha[at - 1]
-        for j in (0, 1):
-            alpha[at, j] += np.logaddexp(a[:, 0] + trans[0, j], a[:, 1] + trans[1, j])
-    for t in range(longest - 2, -1, -1):
-        at = begin[: live[t + 1]] + t
-        b = beta[at + 1]
-        g = b[:, 1] + theta[at + 1]
-        for i in (0, 1):
-            beta[at, i] = np.logaddexp(trans[i, 0] + b[:, 0], trans[i, 1] + g)
-    whole = np.logaddexp(alpha[:, 0] + beta[:, 0], alpha[:, 1] + beta[:, 1])
-    good = np.exp(alpha[:, 1] + beta[:, 1] - whole)
+    if not total:
+        return np.zeros(0), np.zeros((2, 2)), np.zeros(0)
+    ends = np.cumsum(n_lines)
+    begin = ends - n_lines
+    # one matrix a line, from the state before it to its own; a first line has no state before
+    step = np.empty((5, total))
+    step[:4] = trans.reshape(4, 1)
+    step[:4, begin] = 0
+    step[1] += theta
+    step[3] += theta
+    step[4] = step[:4].max(0)
+    step[:4] = np.exp(step[:4] - step[4])
+    alpha = _prefixes(step, n_lines)
+    # backwards: the same on reversed documents, with the matrices that lead on, transposed
+    back = np.repeat(begin + ends - 1, n_lines) - np.arange(total)
+    lead = step[[0, 2, 1, 3, 4]][:, np.minimum(np.arange(total) + 1, total - 1)]
+    lead[:, ends - 1] = np.array([[1], [0], [0], [1], [0]])
+    beta = _prefixes(lead[:, back], n_lines)[:, back]
+    b = [beta[0] + beta[2], beta[1] + beta[3]]  # of each state: the sum over what follows
+    whole = alpha[4, ends - 1] + np.log(alpha[0, ends - 1] + alpha[1, ends - 1])
+    each = np.repeat(whole, n_lines)
+    good = np.minimum(alpha[1] * b[1] * np.exp(alpha[4] + beta[4] - each), 1.0)
     inner = np.ones(total, bool)
-    if total:
-        inner[np.cumsum(n_lines) - n_lines] = False
+    inner[begin] = False
     at = np.flatnonzero(inner)
-    pairs = np.zeros((2, 2))
-    for i in (0, 1):
-        for j in (0, 1):
-            pairs[i, j] = np.exp(alpha[at - 1, i] + trans[i, j] + (theta[at] if j else 0) + beta[at, j] - whole[at]).sum()
-    return good, pairs
+    scale = np.exp(alpha[4, at - 1] + step[4, at] + beta[4, at] - each[at]) * (1.0 if weight is None else np.repeat(weight, n_lines)[at])
+    pairs = np.array([[(scale * alpha[i, at - 1] * step[2 * i + j, at] * b[j][at]).sum() for j in (0, 1)] for i in (0, 1)])
+    return good, pairs, whole
+
+
+def likelihood(params, x, y, n_lines, penalty: float):
+    """(minus the mean weighted log-likelihood of the documents' labellings, its gradient).
+
+    Every line of a document has its label ``y`` (of each document). A document weighs mean lines / its lines, so that
+    long documents count like short ones."""
+    import numpy as np
+
+    w, trans = params[:-4], params[-4:].reshape(2, 2)
+    weight = n_lines.mean() / n_lines
+    theta = x @ w
+    good, pairs, whole = marginals(theta, trans, n_lines, weight)
+    lines = np.repeat(y, n_lines)
+    own = np.add.reduceat(theta * lines, np.cumsum(n_lines) - n_lines) + (n_lines - 1) * np.where(y > 0, trans[1, 1], trans[0, 0])
+    wanted = np.diag([(weight * (n_lines - 1) * (y == v)).sum() for v in (0, 1)])
+    value = (weight * (whole - own)).sum() / len(y) + penalty / 2 * (params**2).sum()
+    return value, np.concatenate([x.T @ ((good - lines) * np.repeat(weight, n_lines)), (pairs - wanted).ravel()]) / len(y) + penalty * params
 
 
 def fit(rows: list[tuple[str, int]], steps: int = 90, penalty: float = 1e-3):
@@ -152,18 +213,11 @@ def fit(rows: list[tuple[str, int]], steps: int = 90, penalty: float = 1e-3):
         return None
     x, size, n_lines = line_features([t for t, _ in rows])
     x = with_neighbours(x, n_lines)
-    y = np.repeat(np.array([y for _, y in rows], np.float64), n_lines)
-    mean_lines = float(n_lines.mean())
-    part = np.repeat(1.0 / n_lines, n_lines) * mean_lines  # documents count alike, however many lines they have
-    wanted = np.zeros((2, 2))
-    for v in (0, 1):
-        wanted[v, v] = (np.maximum(n_lines, 1) - 1)[np.array([t[1] for t in rows]) == v].sum()
+    y = np.array([y for _, y in rows], np.float64)
     params = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, steps + 1):
-        w, trans = params[:-4], params[-4:].reshape(2, 2)
-        good, pairs = marginals(x @ w, trans, n_lines)
-        grad = np.concatenate([x.T @ ((good - y) * part) / len(rows), 0.1 * (pairs - wanted).ravel() / len(rows)]) + penalty * params
+        _, grad = likelihood(params, x, y, n_lines, penalty)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     model = (params[:-4], params[-4:].reshape(2, 2))
@@ -190,7 +244,7 @@ def document_scores(model, texts: list[str], calibration):
     import numpy as np
 
     x, size, n_lines = line_features(texts)
-    good, _ = marginals(with_neighbours(x, n_lines) @ model[0], model[1], n_lines)
+    good, _, _ = marginals(with_neighbours(x, n_lines) @ model[0], model[1], n_lines)
     at = np.cumsum(n_lines) - n_lines
     weight = size + 1.0
     raw = np.add.reduceat(good * weight, at) / np.add.reduceat(weight, at) if len(at) else np.zeros(0)
@@ -236,6 +290,8 @@ def _with_score(rows: DataFrame, model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` at or above the threshold, with all their columns."""
+    """The rows of ``docs`` at or above the threshold, with all their columns; all rows without a model."""
+    if model is None:
+        return docs
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"))
     return _with_score(rows, model).where(F.col("score") >= THRESHOLD).select("row.*")
