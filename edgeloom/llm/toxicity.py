@@ -11,7 +11,7 @@ first such windows come from word counts, later ones from the network itself, al
 scores highest.
 
 Defined cases: null and empty texts are one empty window; null or repeated ids keep their rows; other columns are
-ignored; an empty table gives an empty result; without both labels every score is 0.5.
+ignored; an empty table gives an empty result; without both labels every score is 0.5 and ``keep_clean`` keeps all rows.
 """
 
 from __future__ import annotations
@@ -373,6 +373,8 @@ def score(docs: DataFrame, model, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def keep_clean(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` below the threshold, with all their columns."""
+    """The rows of ``docs`` below the threshold, with all their columns; all rows without a model."""
+    if model is None:
+        return docs
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"))
     return _with_score(rows, model).where(F.col("score") < THRESHOLD).select("row.*")
