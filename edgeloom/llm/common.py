@@ -37,12 +37,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir; one is set only where the session has none."""
+    """The folder all machines share: spark.checkpoint.dir. Where the session has none, a local session gets a folder
+    of its own, as in tests; a cluster gets an error, since nothing local is shared there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         sc = spark.sparkContext
         folder = sc.getCheckpointDir()
         if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="edgeloom-ckpt-"))
             folder = sc.getCheckpointDir()
     return folder.rstrip("/")
@@ -65,6 +68,26 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: a key is hot from this many rows on, and from one in so many of all rows: so there are at most ``HOT_KEYS`` hot keys
+HOT_ROWS, HOT_KEYS = 10_000, 20_000
+
+
+def hot_from(total: int) -> int:
+    return max(HOT_ROWS, total // HOT_KEYS)
+
+
+def lookup(left: DataFrame, right: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in column ``n`` how many of the ``total`` rows of
+    ``left`` have it. Rows of hot keys stay where they are and meet a broadcast of at most ``HOT_KEYS`` rows; the
+    others are shuffled. ``right`` is read more than once."""
+    least = hot_from(total)
+    if total < least:
+        return left.join(right, on, how)
+    hot = right.where(F.col("n") >= least)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col("n") < least), on, how)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, ship_package, slices
+from .common import discard, hot_from, lookup, materialize, ship_package, slices
 
 MIN_WORDS = 30
 ANCHOR_WORDS = 4
@@ -225,18 +225,26 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     lines = materialize(hashed.dropDuplicates(["d", "mark"]), "lines")
 
     each = lines.select("d", "mark", F.explode("anchors").alias("h"))
+    total = lines.agg(F.sum(F.size("anchors"))).first()[0] or 0
     # partial aggregation first: a line that a third of all documents hold is one row a task by then
     firsts = each.groupBy("h").agg(F.min(F.struct("d", "mark")).alias("first"), F.max("d").alias("last"), F.count("*").alias("n")).where(F.col("first.d") < F.col("last"))
-    shared = each.join(firsts, "h")
+    firsts = materialize(firsts, "firsts")
+    shared = lookup(each, firsts, ["h"], total)
     with_first = shared.where(F.col("d") > F.col("first.d")).select("d", "mark", F.col("first.d").alias("p"), F.col("first.mark").alias("p_mark"), ((F.col("h") % 2) == 0).alias("by_line"))
     # a rare line's documents: at most ``rare``, so at most rare * (rare - 1) / 2 pairs a line
-    few = shared.where(F.col("n").between(3, rare) & (F.col("h") % 2 == 0)).groupBy("h").agg(F.collect_list(F.struct("d", "mark")).alias("all"))
+    few = each.join(firsts.where(F.col("n").between(3, rare) & (F.col("h") % 2 == 0)).select("h"), "h").groupBy("h").agg(F.collect_list(F.struct("d", "mark")).alias("all"))
     among = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where(F.col("x.d") > F.col("y.d")).select(F.col("x.d").alias("d"), F.col("x.mark").alias("mark"), F.col("y.d").alias("p"), F.col("y.mark").alias("p_mark"), F.lit(True).alias("by_line"))
     pairs = materialize(with_first.unionByName(among).groupBy("d", "mark", "p", "p_mark").agg(F.max("by_line").alias("by_line")), "pairs")
 
-    theirs = lines.select(F.col("d").alias("p"), F.col("mark").alias("p_mark"), F.col("seq").alias("p_seq"))
+    # a first holder that many documents meet is copied, so that no task takes more than ``portion`` of its pairs
+    portion = hot_from(pairs.count())
+    busy = pairs.groupBy("p", "p_mark").agg(F.ceil(F.count("*") / portion).cast("int").alias("copies")).where("copies > 1")
+    busy = F.broadcast(busy)  # each stands for over ``portion`` pairs
+    dealt = pairs.join(busy, ["p", "p_mark"], "left").withColumn("copy", F.pmod(F.xxhash64("d", "mark"), F.coalesce("copies", F.lit(1))))
+    theirs = lines.select(F.col("d").alias("p"), F.col("mark").alias("p_mark"), F.col("seq").alias("p_seq")).join(busy, ["p", "p_mark"], "left")
+    theirs = theirs.select("p", "p_mark", "p_seq", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)).cast("long") - 1)).alias("copy"))
     own = lines.select("d", "mark", "seq")
-    aligned = pairs.join(theirs, ["p", "p_mark"]).join(own, ["d", "mark"])
+    aligned = dealt.join(theirs, ["p", "p_mark", "copy"]).join(own, ["d", "mark"])
 
     def align(batches):
         import pyarrow as pa
@@ -250,6 +258,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     lists = {"at": F.col("at"), "by_line": F.when(F.col("by_line"), F.col("at"))}  # collect_list leaves nulls out
     union = covered.groupBy("d", "mark").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(n) for n, c in lists.items())).where(F.size("at") > 0)
     cuts = materialize(union.join(lines.select("d", "mark", "words"), ["d", "mark"]), "cuts")
+    for table in (lines, firsts, pairs):
+        discard(table)
 
     # only documents with a cut meet their positions; hashes of whole texts keep rows of one id apart
     out_cols = docs.columns

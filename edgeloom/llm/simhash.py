@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, discard, materialize, ship_package, shuffle_width, slices
+from .common import LOWER_BYTES, discard, lookup, materialize, ship_package, shuffle_width, slices
 from .components import connected_components
 
 SEED = 42
@@ -196,11 +196,11 @@ def group(prints: DataFrame, radius: int, segments: int, words: int = 1, ball: i
     """
     cols = [f"f{j}" for j in range(words)]
     prints = materialize(prints, "prints")
-    reps = materialize(prints.where("doc_id is not null").groupBy(*cols).agg(F.min("doc_id").alias("rep")), "reps")
+    reps = materialize(prints.where("doc_id is not null").groupBy(*cols).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "reps")
     found = connected_components(link_edges(reps, radius, segments, words, ball))
-    named = reps.join(found, reps["rep"] == found["node"], "left").select(*(F.col(c).alias(f"r_{c}") for c in cols), F.coalesce("component", "rep").alias("component_id"))
-    same = [prints[c] == named[f"r_{c}"] for c in cols]
-    joined = prints.join(named, same, "left")
+    named = materialize(reps.join(found, reps["rep"] == found["node"], "left").select(*cols, "n", F.coalesce("component", "rep").alias("component_id")), "named")
+    discard(reps)
+    joined = lookup(prints, named, cols, prints.count(), "left")
     return joined.select("doc_id", *cols, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
@@ -355,8 +355,9 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_mark(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), *(pa.array(np.ascontiguousarray(f[:, j])) for j in range(words)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "size", *cols, "keys"])
 
     known = materialize(rows.mapInArrow(prints, "doc_id long, mark long, size int, " + ", ".join(f"{c} long" for c in cols) + ", keys array<long>"), "prints")
-    first = known.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep"))
-    reps = known.join(first, "mark").where("doc_id = rep").dropDuplicates(["rep", "mark"]).where(F.size("keys") > 0).select("rep", "mark", "size", *cols, "keys")
+    first = materialize(known.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "first")
+    many = known.count()
+    reps = lookup(known, first, ["mark"], many).where("doc_id = rep").dropDuplicates(["rep", "mark"]).where(F.size("keys") > 0).select("rep", "mark", "size", *cols, "keys")
     reps = materialize(reps, "reps")
 
     def bucket_with(limit):
@@ -439,6 +440,6 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
         if keys.isEmpty():
             break
         limit *= GROWTH
-    named = first.join(found, first["rep"] == found["node"], "left").select(F.col("mark").alias("its"), F.coalesce("component", "rep").alias("component_id"))
-    joined = known.join(named, known["mark"] == named["its"], "left")
+    ends = materialize(first.join(found, first["rep"] == found["node"], "left").select("mark", "n", F.coalesce("component", "rep").alias("component_id")), "ends")
+    joined = lookup(known.select("doc_id", "mark"), ends, ["mark"], many, "left")
     return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
