@@ -107,6 +107,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Needs distinct ids."""
-    stay = exact_dedup(docs, text, doc_id, keep).where("kept").select(F.col("doc_id").alias("__stay"))
-    return docs.join(stay, docs[doc_id].cast("long").eqNullSafe(F.col("__stay")), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns, whatever their names. Needs distinct ids."""
+    stay = exact_dedup(docs, text, doc_id, keep).where("kept").select(F.col("doc_id").alias("stay"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"))
+    return rows.join(stay, F.col("id").eqNullSafe(F.col("stay")), "left_semi").select("row.*")
