@@ -100,25 +100,70 @@ def peel_relabel(edges: DataFrame) -> DataFrame:
     return both_directions(apply(canonical_edges(edges), ranked.select(F.col("v").alias("old_id"), F.col("rank").alias("new_id"))))
 
 
-def core_numbers(edges: DataFrame) -> DataFrame:
-    """v, core, round (in which it left) of every id."""
+def truncated_priority(edges: DataFrame, growth: float = 5.0, waves: int = 6, least: int = 200) -> DataFrame:
+    """v, priority, residual of every id, with few waves a threshold. The first threshold is the mean degree; it grows
+    by its whole part times growth / 5. After each scan at most ``waves`` waves run, and only while the vertices whose
+    neighbours don't know yet are more than ``least`` and n / 5000; the others wait for the next threshold."""
     simple, both, state = _start(edges)
-    n = state.count()
-    table, state = state, state.select("v", "res", "prio", F.lit(0).cast("long").alias("core"))
-    left, k, round_no = n, 0, 0
+    m, n = simple.count(), state.count()
+    state = replace(state, state.withColumn("told", F.lit(False)), "peel")
+    threshold = 2 * m / max(n, 1)
+    step, prio, left = max(0.5, int(threshold) * growth / 5), 0, n
+
+    def scan(table):
+        new = F.col("prio").isNull() & (F.col("res") <= threshold)
+        return table.select("v", "res", F.when(new, F.lit(prio)).otherwise(F.col("prio")).cast("long").alias("prio"), "told")
+
     while left:
-        k = max(k, state.where("prio is null").agg(F.min("res")).first()[0])
-        taken = 1
-        while taken and left:
-            leave = F.col("prio").isNull() & (F.col("res") <= k)
-            table = state = replace(table, state.select("v", "res", F.when(leave, F.lit(k)).otherwise(F.col("core")).cast("long").alias("core"), F.when(leave, F.lit(round_no)).otherwise(F.col("prio")).cast("long").alias("prio")), "core")
-            taken = state.where(F.col("prio") == round_no).count()
-            left -= taken
-            if taken and left:
-                core = state.select("v", "core")
-                state = _wave(both, state, F.col("prio") == round_no).join(core, "v")
-            round_no += 1
-    return state.select("v", "core", F.col("prio").alias("round"))
+        state, prio, inner = replace(state, scan(state), "peel"), prio + 1, 0
+        while True:
+            seen = state.agg(F.count("prio").alias("peeled"), F.sum((F.col("prio").isNotNull() & ~F.col("told")).cast("long")).alias("untold")).first()
+            left = n - seen["peeled"]
+            if not left or inner >= waves or seen["untold"] <= max(least, n // 5000):
+                break
+            news = state.where("prio is not null and not told").select(F.col("v").alias("src"))
+            loss = both.join(news, "src", "left_semi").groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("loss"))
+            after = state.join(loss, "v", "left").select("v", F.when(F.col("prio").isNull(), F.col("res") - F.coalesce("loss", F.lit(0))).otherwise(F.col("res")).alias("res"), "prio", F.col("prio").isNotNull().alias("told"))
+            state, prio, inner = replace(state, scan(after), "peel"), prio + 1, inner + 1
+        threshold += step
+    return state.select("v", F.col("prio").alias("priority"), F.col("res").alias("residual"))
+
+
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """v, core, round of every id. ``round`` is the wave of the vertices of equal core in which a vertex can leave.
+
+    A vertex's number is the largest k such that k neighbours have k or more (an h-index), from degrees down until
+    nothing moves: the fixed point is the core number. That takes few rounds where peeling takes one a wave. Neighbours
+    are counted by value first, so that a hub is some sqrt(2 E) rows at most. Then the waves of all shells run at once.
+    """
+    simple, both, state = _start(edges)
+    core = replace(state, state.select("v", F.col("res").alias("core")), "core")
+    total = None
+    for _ in range(MOST_ROUNDS):
+        now = core.agg(F.sum("core")).first()[0]
+        if now == total or not now:
+            break
+        total = now
+        seen = both.join(core, both["dst"] == core["v"]).groupBy("src", "core").agg(F.count("*").alias("n"))
+        falling = seen.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("core", "n")), asc=False).alias("s"))
+        walk = "aggregate(s, struct(0L AS k, 0L AS n), (a, x) -> struct(greatest(a.k, least(x.core, a.n + x.n)) AS k, a.n + x.n AS n)).k"
+        moved = falling.select(F.col("src").alias("v"), F.expr(walk).alias("k"))
+        core = replace(core, core.join(moved, "v", "left").select("v", F.least("core", F.coalesce("k", F.lit(0))).cast("long").alias("core")), "core")
+    # shells: a vertex leaves when at most core neighbours of its own shell that are left and of higher ones remain
+    a, b = (core.select(F.col("v").alias(c), F.col("core").alias(f"c{c}")) for c in ("src", "dst"))
+    links = both.join(a, "src").join(b, "dst")
+    own = links.where("cdst >= csrc").groupBy(F.col("src").alias("v")).agg(F.count("*").alias("held"))
+    shell = materialize(links.where("cdst = csrc").select("src", "dst"), "shell")
+    state = materialize(core.join(own, "v", "left").select("v", "core", F.coalesce("held", F.lit(0)).alias("held"), F.lit(None).cast("long").alias("round")), "rounds")
+    for wave in range(MOST_ROUNDS):
+        leave = F.col("round").isNull() & (F.col("held") <= F.col("core"))
+        state = replace(state, state.select("v", "core", "held", F.when(leave, F.lit(wave)).otherwise(F.col("round")).cast("long").alias("round")), "rounds")
+        if state.where("round is null").isEmpty():
+            break
+        gone = state.where(F.col("round") == wave).select(F.col("v").alias("src"))
+        loss = shell.join(gone, "src", "left_semi").groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("loss"))
+        state = replace(state, state.join(loss, "v", "left").select("v", "core", (F.col("held") - F.coalesce("loss", F.lit(0))).alias("held"), "round"), "rounds")
+    return state.select("v", "core", "round")
 
 
 def degeneracy(cores: DataFrame) -> DataFrame:
