@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import global_rank
+from ..plans.storage import global_rank, materialize
 from .prepare import vertices
 
 
@@ -44,17 +44,29 @@ def degree_histogram(edges: DataFrame) -> DataFrame:
     return with_isolated(degrees(edges), vertices(edges), "deg").groupBy("deg").agg(F.count("*").alias("n"))
 
 
-def csr_offsets(edges: DataFrame) -> DataFrame:
-    """v, deg, start: the exclusive running sum of out-degrees in id order.
+def running_sums(df: DataFrame, col: str) -> DataFrame:
+    """``df`` (with ids in v) with ``before``: the sum of ``col`` over all smaller ids.
 
-    Ids are cut into ranges of 4096; running sums inside ranges and over range totals, so the last window sees a row
-    for each range only.
+    Rows are range-partitioned and sorted by id in a table; each partition's own sums start from what the partitions
+    before it hold, one number a partition. No task sees the rows of another.
     """
-    d = out_degrees_all(edges).withColumn("range", F.floor(F.col("v") / 4096))
-    inside = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    totals = d.groupBy("range").agg(F.sum("out_deg").alias("t"))
-    before = totals.select("range", F.coalesce(F.sum("t").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    return d.join(before, "range").select("v", F.col("out_deg").alias("deg"), (F.col("b") + F.coalesce(F.sum("out_deg").over(inside), F.lit(0))).alias("start"))
+    spark = df.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = df.repartitionByRange(width, "v").sortWithinPartitions("v").withColumn("__p", F.spark_partition_id())
+    placed = materialize(placed, "sums")
+    total, rows = 0, []
+    for r in placed.groupBy("__p").agg(F.sum(col).alias("t")).orderBy("__p").collect():  # one row a partition
+        rows.append((r["__p"], total))
+        total += r["t"]
+    starts = F.broadcast(spark.createDataFrame(rows, "__p int, __start long"))
+    inside = Window.partitionBy("__p").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    met = placed.join(starts, "__p")
+    return met.withColumn("before", F.col("__start") + F.coalesce(F.sum(col).over(inside), F.lit(0))).drop("__p", "__start")
+
+
+def csr_offsets(edges: DataFrame) -> DataFrame:
+    """v, deg, start: the exclusive running sum of out-degrees in id order."""
+    return running_sums(out_degrees_all(edges), "out_deg").select("v", F.col("out_deg").alias("deg"), F.col("before").alias("start"))
 
 
 def leaf_ratio(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import global_rank
-from .degree import degrees, out_degrees, out_degrees_all, with_isolated
+from .degree import degrees, out_degrees, running_sums, with_isolated
 from .orient import by_degree
 from .prepare import vertices
 
@@ -47,12 +47,8 @@ def balanced_blocks(workload: DataFrame, blocks: int) -> DataFrame:
     """v, work, block: contiguous id ranges of about equal work."""
     total = workload.agg(F.sum("work")).first()[0] or 0
     step = max(1, -(-total // blocks))
-    w = workload.withColumn("range", F.floor(F.col("v") / 4096))
-    inside = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    sums = w.groupBy("range").agg(F.sum("work").alias("t"))
-    before = sums.select("range", F.coalesce(F.sum("t").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    cum = F.col("b") + F.sum("work").over(inside)
-    return w.join(before, "range").select("v", "work", F.greatest(F.lit(0), F.floor((cum - 1) / step)).cast("long").alias("block"))
+    cum = F.col("before") + F.col("work")
+    return running_sums(workload, "work").select("v", "work", F.greatest(F.lit(0), F.floor((cum - 1) / step)).cast("long").alias("block"))
 
 
 def edge_workload(directed: DataFrame) -> DataFrame:

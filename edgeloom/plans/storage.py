@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; one is set only where the session has none, as in tests."""
+    """spark.checkpoint.dir. Where the session has none, a local session gets a folder of its own, as in tests; a
+    cluster gets an error, since nothing local is shared there."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="edgeloom-ckpt-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -50,11 +53,12 @@ def global_rank(df: DataFrame, *keys, name: str = "rank") -> DataFrame:
     placed = df.repartitionByRange(width, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
     placed = materialize(placed, "ranked")
     part = F.shiftright("__at", 33)
-    offset, pairs = 0, []
+    offset, rows = 0, []
     for r in placed.groupBy(part.alias("p")).count().orderBy("p").collect():  # one row a partition
-        pairs += [F.lit(r["p"]), F.lit(offset)]
+        rows.append((r["p"], offset))
         offset += r["count"]
-    if not pairs:
+    if not rows:
         return placed.withColumn(name, F.lit(0).cast("long")).drop("__at")
-    base = F.element_at(F.create_map(*pairs), part)
-    return placed.withColumn(name, (base + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__at")
+    starts = F.broadcast(spark.createDataFrame(rows, "__p long, __start long"))  # one row a partition
+    met = placed.join(starts, part == F.col("__p"))
+    return met.withColumn(name, (F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__at", "__p", "__start")
