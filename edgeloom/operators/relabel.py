@@ -18,6 +18,11 @@ def apply(edges: DataFrame, relabel: DataFrame) -> DataFrame:
     return edges.join(a, F.col("src") == F.col("__a")).join(b, F.col("dst") == F.col("__b")).select(F.col("__na").alias("src"), F.col("__nb").alias("dst"))
 
 
+def shuffled_by(col: str, seed: int):
+    """A random-looking key of a number, the same on every system."""
+    return F.md5(F.concat_ws("-", F.col(col).cast("string"), F.lit(str(seed))))
+
+
 def _as_map(ranked: DataFrame, new=None) -> DataFrame:
     return ranked.select(F.col("v").alias("old_id"), (F.col("rank") if new is None else new).cast("long").alias("new_id"))
 
@@ -72,13 +77,13 @@ def snake_order(directed: DataFrame, bucket: int = 64, seed: int | None = None)
         return placed.select(F.col("v").alias("old_id"), F.col("pos").alias("new_id"))
     whole = bucket * chunk
     group = F.when(F.col("pos") < whole, F.floor(F.col("pos") / bucket)).otherwise(-1 - F.col("pos"))
-    w = Window.partitionBy("g").orderBy(F.xxhash64("v", F.lit(seed)), "v")
+    w = Window.partitionBy("g").orderBy(shuffled_by("v", seed), "v")
     shuffled = placed.withColumn("g", group).withColumn("i", F.row_number().over(w) - 1)
     return shuffled.select(F.col("v").alias("old_id"), F.when(F.col("g") >= 0, F.col("g") * bucket + F.col("i")).otherwise(F.col("pos")).cast("long").alias("new_id"))
 
 
 def random_order(edges: DataFrame, seed: int = 0) -> DataFrame:
-    return _as_map(global_rank(vertices(edges).withColumn("h", F.xxhash64("v", F.lit(seed))), "h", "v"))
+    return _as_map(global_rank(vertices(edges).withColumn("h", shuffled_by("v", seed)), "h", "v"))
 
 
 def compact_ids(edges: DataFrame) -> DataFrame:

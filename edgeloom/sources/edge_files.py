@@ -10,22 +10,27 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 RECORD = 8
 
 
-def _decode(order: str):
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+#: bytes of a file that one task reads, and that one batch holds
+SPLIT, BATCH = 64 << 20, 4 << 20
+
 
-        for batch in batches:
-            words = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4").reshape(-1, 2).astype(np.int64)
-            a, b = (0, 1) if order == "src_first" else (1, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(words[:, a].copy()), pa.array(words[:, b].copy())], names=["src", "dst"])
+def _store(path: str):
+    """(file system, path on it) of a URI or a local path."""
+    from pyarrow import fs
 
-    return run
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme: without one Spark's default file system is meant, on every machine."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def read_binary_edges(spark: SparkSession, path: str, word_order: str = "src_first") -> DataFrame:
@@ -35,9 +40,42 @@ def read_binary_edges(spark: SparkSession, path: str, word_order: str = "src_fir
     bad = spark.read.format("binaryFile").load(path).select("length").where(F.col("length") % RECORD != 0)
     if not bad.isEmpty():
         raise ValueError(f"{path}: a file's length is no multiple of {RECORD}")
-    # only Spark's fixed-length input splits such files wherever they lie; records go straight into Arrow batches
-    records = spark.sparkContext.binaryRecords(path, RECORD).map(lambda r: (bytearray(r),))
-    return spark.createDataFrame(records, "record binary").mapInArrow(_decode(word_order), "src long, dst long")
+    spark.dataSource.register(EdgeFiles)
+    return spark.read.format("edgebin").option("word_order", word_order).load(qualified(spark, path))
+
+
+class _Range(InputPartition):
+    def __init__(self, name: str, lo: int, hi: int):
+        self.name, self.lo, self.hi = name, lo, hi
+
+
+class _EdgeReader(DataSourceReader):
+    """Byte ranges of all files under a path, whole records each, as Arrow batches."""
+
+    def __init__(self, path: str, order: str):
+        self.path, self.order = path, order
+
+    def partitions(self):
+        from pyarrow import fs
+
+        store, base = _store(self.path)
+        top = store.get_file_info(base)
+        files = [top] if top.type == fs.FileType.File else store.get_file_info(fs.FileSelector(base))
+        files = sorted((f.path, f.size) for f in files if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
+        return [_Range(name, lo, min(size, lo + SPLIT)) for name, size in files for lo in range(0, size, SPLIT)] or [_Range("", 0, 0)]
+
+    def read(self, partition):
+        import numpy as np
+        import pyarrow as pa
+
+        if partition.lo == partition.hi:
+            return
+        a, b = (0, 1) if self.order == "src_first" else (1, 0)
+        with _store(self.path)[0].open_input_file(partition.name) as f:
+            f.seek(partition.lo)
+            for at in range(partition.lo, partition.hi, BATCH):
+                words = np.frombuffer(f.read(min(BATCH, partition.hi - at)), "<u4").reshape(-1, 2).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words[:, a].copy()), pa.array(words[:, b].copy())], names=["src", "dst"])
 
 
 @dataclass
@@ -50,9 +88,7 @@ class _EdgeWriter(DataSourceArrowWriter):
         self.path, self.order = path, order
 
     def _fs(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        return _store(self.path)
 
     def write(self, batches):
         import numpy as np
@@ -63,7 +99,10 @@ class _EdgeWriter(DataSourceArrowWriter):
         name = f"{base}/.part-{context.partitionId():05d}-{context.taskAttemptId()}"
         with store.open_output_stream(name) as f:
             for batch in batches:
-                s, d = (batch.column(i).to_numpy().astype("<u4") for i in (0, 1))
+                s, d = (batch.column(i).to_numpy() for i in (0, 1))
+                if len(s) and (min(s.min(), d.min()) < 0 or max(s.max(), d.max()) >> 32):
+                    raise ValueError("binary records hold ids from 0 to 2**32 - 1")
+                s, d = s.astype("<u4"), d.astype("<u4")
                 f.write(np.stack([s, d] if self.order == "src_first" else [d, s], 1).tobytes())
         return _Part(name)
 
@@ -81,7 +120,7 @@ class _EdgeWriter(DataSourceArrowWriter):
 
 
 class EdgeFiles(DataSource):
-    """Sink ``edgebin``: options path and word_order; parts appear under their final names on commit only."""
+    """Source and sink ``edgebin``: options path and word_order; parts appear under their final names on commit only."""
 
     @classmethod
     def name(cls):
@@ -90,13 +129,16 @@ class EdgeFiles(DataSource):
     def schema(self):
         return "src long, dst long"
 
+    def reader(self, schema):
+        return _EdgeReader(self.options["path"], self.options.get("word_order", "src_first"))
+
     def writer(self, schema, overwrite):
         return _EdgeWriter(self.options["path"], self.options.get("word_order", "src_first"))
 
 
 def write_binary_edges(edges: DataFrame, path: str, word_order: str = "src_first") -> None:
     edges.sparkSession.dataSource.register(EdgeFiles)
-    edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).write.format("edgebin").option("word_order", word_order).mode("append").save(path)
+    edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).write.format("edgebin").option("word_order", word_order).mode("append").save(qualified(edges.sparkSession, path))
 
 
 def _two_numbers(spark, path, comments: bool):
@@ -153,7 +195,8 @@ def power_law_edges(spark: SparkSession, vertices: int, alpha: float, beta: floa
     """A random graph whose i-th vertex has beta * (i + 1) ** -alpha outgoing edges, rounded down, to random ends."""
     rows = spark.range(vertices).select(F.col("id").alias("src"), F.floor(beta * F.pow(F.col("id") + 1, F.lit(-alpha))).alias("k")).where("k > 0")
     ends = rows.select("src", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("i"))
-    return ends.select("src", F.pmod(F.xxhash64("src", "i", F.lit(seed)), F.lit(vertices)).alias("dst"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("-", "src", "i", F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return ends.select("src", (draw % vertices).alias("dst"))
 
 
 def random_set_pair(spark: SparkSession, length: int, skew: float = 1.0, selectivity: float = 0.1, density: float = 0.01, seed: int = 0) -> DataFrame:
