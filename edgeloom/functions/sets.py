@@ -53,6 +53,14 @@ def is_strict_subset(a, b) -> Column:
     return is_subset(a, b) & (F.size(F.array_distinct(a)) < F.size(F.array_distinct(b)))
 
 
+def is_equal(a, b) -> Column:
+    return is_subset(a, b) & is_subset(b, a)
+
+
+def is_empty(a) -> Column:
+    return F.size(a) == 0
+
+
 def overlaps(a, b) -> Column:
     return F.arrays_overlap(a, b)
 

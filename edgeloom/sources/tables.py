@@ -15,9 +15,9 @@ def partsupp_raw(spark, sf_dir) -> DataFrame:
     return _lineitem(spark, sf_dir).select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
 
 
-def copart40_raw(spark, sf_dir) -> DataFrame:
-    """Pairs of parts in one order, both of a quantity of 40 or more."""
-    rows = _lineitem(spark, sf_dir).where("l_quantity >= 40").select("l_orderkey", "l_linenumber", "l_partkey")
+def copart_raw(spark, sf_dir) -> DataFrame:
+    """Pairs of parts in one order."""
+    rows = _lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey")
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")))
     return met.select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst"))

@@ -149,6 +149,49 @@ def test_label_and_count_files(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "cliques")).collect()] == ["1 2 5"]
 
 
+def test_comments_and_blank_lines(spark, tmp_path):
+    (tmp_path / "edges").write_text("# made by hand\n1 2\n\n  3\t4 \n")
+    assert sorted(map(tuple, edge_files.read_text_edges(spark, str(tmp_path / "edges"), comments=True).collect())) == [(1, 2), (3, 4)]
+
+
+def test_binary_files_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(edge_files, "SPLIT", 64)
+    rows = [(i, i * 7 % 50) for i in range(50)]
+    edge_files.write_binary_edges(frame(spark, rows), str(tmp_path / "e"))
+    reader = edge_files._EdgeReader(str(tmp_path / "e"), "src_first")
+    parts = reader.partitions()
+    assert len(parts) >= 7 and all((p.hi - p.lo) % 8 == 0 and p.hi - p.lo <= 64 for p in parts)
+    assert sorted(e for p in parts for b in reader.read(p) for e in zip(*(c.to_pylist() for c in b.columns))) == sorted(rows)
+    for bad in ([(-1, 2)], [(1, 1 << 32)]):
+        with pytest.raises(Exception, match="ids from 0"):
+            edge_files.write_binary_edges(frame(spark, bad), str(tmp_path / "bad"))
+
+
+def test_degeneracy_order_and_cores(spark):
+    """Each vertex has at most core-many neighbours later in the order."""
+    for pairs in (random_graph(60, 0.2, 3), [(i, i + 1) for i in range(30)], GRAPHS["k5"][0] + [(4, 5), (5, 6)]):
+        e = frame(spark, pairs)
+        cores = peel.core_numbers(e)
+        core = {r["v"]: r["core"] for r in cores.collect()}
+        rank = {r["v"]: r["rank"] for r in peel.degeneracy_order(cores).collect()}
+        for v in core:
+            assert sum(rank[b if a == v else a] > rank[v] for a, b in pairs if v in (a, b)) <= core[v]
+
+
+def test_direct_by_depth_last(spark):
+    got = peel.depth_priority(frame(spark, [(0, i) for i in range(1, 30)])).collect()
+    assert len(got) == 30 and max(got, key=lambda r: (r["major"], r["minor"]))["v"] == 0
+
+
+def test_pairs_of_ranges(spark):
+    pairs = random_graph(50, 0.3, 8)
+    o = triangles.directed(frame(spark, pairs))
+    whole = triangles.count_triangles(o, "semi").first()[0]
+    for parts in (1, 3, 7, 50, 60):
+        got = triangles.partial_counts(o, 50, parts).collect()
+        assert sum(r["triangles"] for r in got) == whole and all(0 <= r["m"] < parts and 0 <= r["k"] < parts for r in got)
+
+
 def test_binary_files(spark, tmp_path):
     pairs = [(0, 4_000_000_000), (7, 1)]
     for order in ("src_first", "hi_first"):
