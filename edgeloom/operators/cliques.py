@@ -48,22 +48,35 @@ def count_k_cliques(o: DataFrame, k: int) -> DataFrame:
 
 def search(later: set[int], earlier: set[int], links: dict[int, set[int]]) -> list[list[int]]:
     """Maximal cliques inside ``later`` that no vertex of ``earlier`` extends; pivoting on the vertex that leaves the
-    fewest branches."""
+    fewest branches. Sets are bits of whole numbers."""
+    names = sorted(later | earlier)
+    place = {v: i for i, v in enumerate(names)}
+    near = [0] * len(names)
+    for v, others in links.items():
+        if v in place:
+            for w in others:
+                if w in place:
+                    near[place[v]] |= 1 << place[w]
+
+    def bits(m):
+        while m:
+            low = m & -m
+            yield low.bit_length() - 1
+            m ^= low
+
     out: list[list[int]] = []
-    todo = [([], later, earlier)]
+    todo = [((), sum(1 << place[v] for v in later), sum(1 << place[v] for v in earlier))]
     while todo:
         chosen, p, x = todo.pop()
         if not p:
             if not x:
-                out.append(chosen)
+                out.append([names[i] for i in chosen])
             continue
-        pivot = max(p | x, key=lambda v: len(p & links.get(v, set())))
-        p, x = set(p), set(x)
-        for v in sorted(p - links.get(pivot, set())):
-            near = links.get(v, set())
-            todo.append(([*chosen, v], p & near, x & near))
-            p.discard(v)
-            x.add(v)
+        pivot = max(bits(p | x), key=lambda i: (p & near[i]).bit_count())
+        for i in bits(p & ~near[pivot]):
+            todo.append(((*chosen, i), p & near[i], x & near[i]))
+            p &= ~(1 << i)
+            x |= 1 << i
     return out
 
 

@@ -46,9 +46,16 @@ def split_by(edges: DataFrame, predicate) -> tuple[DataFrame, DataFrame]:
     return edges.where(predicate), edges.where(~predicate)
 
 
+#: ids that ``vertices`` makes at most
+MOST_IDS = 1 << 40
+
+
 def vertices(edges: DataFrame) -> DataFrame:
-    """v: every id from 0 to the largest, isolated ones too."""
-    return edges.sparkSession.range(n_of(edges)).select(F.col("id").alias("v"))
+    """v: every id from 0 to the largest, isolated ones too. Ids beyond ``MOST_IDS`` are refused: compact them first."""
+    n = n_of(edges)
+    if n > MOST_IDS:
+        raise ValueError(f"ids reach {n}; give them new ones by compact_ids first")
+    return edges.sparkSession.range(n).select(F.col("id").alias("v"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
