@@ -17,7 +17,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 RAW = {
     "ps": "raw AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem)",
-    "co": "raw AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber)",
+    "co": "raw AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)",
 }
 CTE = {
     "e": "e AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM raw WHERE src <> dst)",

@@ -17,9 +17,9 @@ def partsupp_raw(spark, sf_dir) -> DataFrame:
 
 def copart_raw(spark, sf_dir) -> DataFrame:
     """Pairs of parts in one order."""
-    rows = _lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey")
+    rows = _lineitem(spark, sf_dir).select("l_orderkey", "l_partkey")
     a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")))
+    met = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_partkey") < F.col("b.l_partkey")))
     return met.select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst"))
 
 
