@@ -148,6 +148,8 @@ def encode_decode(texts: list[str], path: str | None = None, pattern: str | None
     """(decimal ids joined by a space, decoded bytes) of each text."""
     import public_tokenizers
 
+    if not texts:
+        return []
     memory = _memory(path or default_path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)[1]
     out = []
     for parts in memory.lists(texts):
