@@ -21,8 +21,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: rows of an Arrow batch where the session has Spark's default of 10,000: whole texts are long
+BATCH_ROWS = 2000
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that their Python finds it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_edgeloom_shipped", False):
         return
