@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import global_rank, materialize, replace
+from . import blocks
 from .degree import degrees, with_isolated
 from .orient import by_key
-from .prepare import both_directions, canonical_edges, vertices
+from .prepare import both_directions, canonical_edges, canonical_table, vertices
 from .relabel import apply
 
 MOST_ROUNDS = 100_000
@@ -129,41 +130,111 @@ def truncated_priority(edges: DataFrame, growth: float = 5.0, waves: int = 6, le
     return state.select("v", F.col("prio").alias("priority"), F.col("res").alias("residual"))
 
 
-def core_numbers(edges: DataFrame) -> DataFrame:
-    """v, core, round of every id. ``round`` is the wave of the vertices of equal core in which a vertex can leave.
+def _cores_of(table):
+    """v, core: numbers of a block's vertices, given those of their neighbours elsewhere, at the h-index's fixed point."""
+    import numpy as np
+    import pyarrow as pa
 
-    A vertex's number is the largest k such that k neighbours have k or more (an h-index), from degrees down until
-    nothing moves: the fixed point is the core number. That takes few rounds where peeling takes one a wave. Neighbours
-    are counted by value first, so that a hub is some sqrt(2 E) rows at most. Then the waves of all shells run at once.
-    """
-    simple, both, state = _start(edges)
-    core = replace(state, state.select("v", F.col("res").alias("core")), "core")
+    x, value = _values(table)
+    begin, size, flat = x.own
+    todo = x.starts
+    while len(todo):
+        first, near = x.joined(todo, x.own)
+        held = np.bincount(first, value[near] >= value[todo][first], len(todo))
+        todo = todo[held < value[todo]]
+        if not len(todo):
+            break
+        first, near = x.joined(todo, x.own)
+        top = np.minimum(value[near], value[todo][first])
+        wide = int(value[todo].max()) + 1
+        ordered = np.sort(first * wide + (wide - 1 - top))
+        place = np.arange(len(ordered)) - (np.cumsum(size[todo]) - size[todo])[first] + 1
+        value[todo] = np.bincount(first, wide - 1 - ordered % wide >= place, len(todo)).astype(np.int64)
+        todo = x.starts
+    return pa.table({"v": x.ids[x.starts], "value": value[x.starts]})
+
+
+def _rounds_of(table):
+    """v, value: waves of a block's vertices, given those of their neighbours elsewhere: as many of a vertex's shell as
+    it has too many (others) leave in waves before its own. From 0 upwards to the least fixed point."""
+    import numpy as np
+    import pyarrow as pa
+
+    x, value = _values(table)
+    begin, size, flat = x.own
+    over = np.zeros(len(x.ids), np.int64)
+    over[np.searchsorted(x.ids, table.column("v").to_numpy()[table.column("own").to_numpy()])] = table.column("over").to_numpy()[table.column("own").to_numpy()]
+    late = x.starts[over[x.starts] > 0]
+    while len(late):
+        first, near = x.joined(late, x.own)
+        before = np.bincount(first, value[near] < value[late][first], len(late))
+        todo = late[before < over[late]]
+        if not len(todo):
+            break
+        first, near = x.joined(todo, x.own)
+        wide = int(value.max()) + 1
+        ordered = np.sort(first * wide + value[near]) % wide
+        value[todo] = ordered[np.cumsum(size[todo]) - size[todo] + over[todo] - 1] + 1
+    return pa.table({"v": x.ids[x.starts], "value": value[x.starts]})
+
+
+def _values(table):
+    """Lists of a block and the value of each place."""
+    import numpy as np
+
+    x = blocks.Lists(table)
+    value = np.zeros(len(x.ids), np.int64)
+    value[np.searchsorted(x.ids, table.column("v").to_numpy())] = table.column("value").to_numpy()
+    return x, value
+
+
+def _settle(own: DataFrame, state: DataFrame, run) -> DataFrame:
+    """v, value where ``run`` moves nothing any more: each block settles by itself, then hears of its neighbours.
+    ``own`` from ``blocks.lists``; ``state`` a table (v, value) of all its vertices. Values only rise or only fall."""
+    need = materialize(own.select("block", F.explode("nbrs").alias("v")).unionByName(own.select("block", "v")).distinct(), "need")
+    none = F.lit(None).cast("array<long>")
     total = None
     for _ in range(MOST_ROUNDS):
-        now = core.agg(F.sum("core")).first()[0]
-        if now == total or not now:
-            break
+        now = state.agg(F.sum("value")).first()[0]
+        if now == total:
+            return state
         total = now
-        seen = both.join(core, both["dst"] == core["v"]).groupBy("src", "core").agg(F.count("*").alias("n"))
-        falling = seen.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("core", "n")), asc=False).alias("s"))
-        walk = "aggregate(s, struct(0L AS k, 0L AS n), (a, x) -> struct(greatest(a.k, least(x.core, a.n + x.n)) AS k, a.n + x.n AS n)).k"
-        moved = falling.select(F.col("src").alias("v"), F.expr(walk).alias("k"))
-        core = replace(core, core.join(moved, "v", "left").select("v", F.least("core", F.coalesce("k", F.lit(0))).cast("long").alias("core")), "core")
-    # shells: a vertex leaves when at most core neighbours of its own shell that are left and of higher ones remain
+        known = need.join(state, "v")
+        mine = own.join(known, ["block", "v"]).withColumn("own", F.lit(True))
+        theirs = known.join(own.select("block", "v"), ["block", "v"], "left_anti").withColumn("own", F.lit(False)).withColumn("nbrs", none)
+        met = mine.unionByName(theirs, allowMissingColumns=True).groupBy("block").applyInArrow(run, "v long, value long")
+        state = replace(state, met, "value")
+    raise RuntimeError("the values did not settle")
+
+
+#: edge ends in a block of ``core_numbers``
+CORE_ENDS = 6_000_000
+
+
+def core_numbers(edges: DataFrame, rounds: bool = True) -> DataFrame:
+    """v, core, round of every id. ``round`` is the wave of the vertices of equal core in which a vertex can leave; it is
+    left out without ``rounds``.
+
+    A vertex's number is the largest k such that k neighbours have k or more (an h-index), from degrees down until
+    nothing moves: the fixed point is the core number. Blocks of ids settle by themselves between rounds, so that
+    numbers travel between blocks only. The waves of all shells are the least fixed point of a like rule.
+    """
+    simple = canonical_table(edges)
+    every = vertices(simple)
+    own = blocks.lists(materialize(both_directions(simple), "both"), per=CORE_ENDS, least=1)
+    core = _settle(own, materialize(own.select("v", F.size("nbrs").cast("long").alias("value")), "value"), _cores_of)
+    core = with_isolated(core.select("v", F.col("value").alias("core")), every, "core")
+    if not rounds:
+        return core
+    core = materialize(core, "core")
     a, b = (core.select(F.col("v").alias(c), F.col("core").alias(f"c{c}")) for c in ("src", "dst"))
-    links = both.join(a, "src").join(b, "dst")
-    own = links.where("cdst >= csrc").groupBy(F.col("src").alias("v")).agg(F.count("*").alias("held"))
-    shell = materialize(links.where("cdst = csrc").select("src", "dst"), "shell")
-    state = materialize(core.join(own, "v", "left").select("v", "core", F.coalesce("held", F.lit(0)).alias("held"), F.lit(None).cast("long").alias("round")), "rounds")
-    for wave in range(MOST_ROUNDS):
-        leave = F.col("round").isNull() & (F.col("held") <= F.col("core"))
-        state = replace(state, state.select("v", "core", "held", F.when(leave, F.lit(wave)).otherwise(F.col("round")).cast("long").alias("round")), "rounds")
-        if state.where("round is null").isEmpty():
-            break
-        gone = state.where(F.col("round") == wave).select(F.col("v").alias("src"))
-        loss = shell.join(gone, "src", "left_semi").groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("loss"))
-        state = replace(state, state.join(loss, "v", "left").select("v", "core", (F.col("held") - F.coalesce("loss", F.lit(0))).alias("held"), "round"), "rounds")
-    return state.select("v", "core", "round")
+    links = materialize(both_directions(simple).join(a, "src").join(b, "dst").where("cdst >= csrc"), "links")
+    # a vertex leaves when at most core neighbours of its own shell that are left and of higher ones remain
+    over = links.groupBy(F.col("src").alias("v"), F.col("csrc").alias("c")).agg(F.count("*").alias("held")).select("v", (F.col("held") - F.col("c")).alias("over"))
+    shell = blocks.lists(materialize(links.where("cdst = csrc").select("src", "dst"), "shell"), per=CORE_ENDS, least=1).join(over, "v")
+    shell = materialize(shell, "shell")
+    waves = _settle(shell, materialize(shell.select("v", F.lit(0).cast("long").alias("value")), "value"), _rounds_of)
+    return core.join(waves, "v", "left").select("v", "core", F.coalesce("value", F.lit(0)).cast("long").alias("round"))
 
 
 def degeneracy(cores: DataFrame) -> DataFrame:
@@ -176,4 +247,5 @@ def degeneracy_order(cores: DataFrame) -> DataFrame:
 
 
 def core_direction(edges: DataFrame) -> DataFrame:
-    return by_key(canonical_edges(edges), core_numbers(edges), "core", "v")
+    simple = canonical_table(edges)
+    return by_key(simple, core_numbers(simple, rounds=False), "core", "v")
