@@ -136,21 +136,27 @@ def _cores_of(table):
     import pyarrow as pa
 
     x, value = _values(table)
-    begin, size, flat = x.own
-    todo = x.starts
+    size = x.own[1]
+    inner, held, now = np.zeros(len(value), bool), np.zeros(len(value), np.int64), np.zeros(len(value), bool)
+    inner[x.starts] = True
+    first, near = x.joined(x.starts, x.own)
+    held[x.starts] = np.bincount(first, value[near] >= value[x.starts][first], len(x.starts))
+    todo = x.starts[held[x.starts] < value[x.starts]]
     while len(todo):
         first, near = x.joined(todo, x.own)
-        held = np.bincount(first, value[near] >= value[todo][first], len(todo))
-        todo = todo[held < value[todo]]
-        if not len(todo):
-            break
-        first, near = x.joined(todo, x.own)
-        top = np.minimum(value[near], value[todo][first])
-        wide = int(value[todo].max()) + 1
-        ordered = np.sort(first * wide + (wide - 1 - top))
+        before = value[todo]
+        wide = int(before.max()) + 1
+        ordered = np.sort(first * wide + (wide - 1 - np.minimum(value[near], before[first])))
         place = np.arange(len(ordered)) - (np.cumsum(size[todo]) - size[todo])[first] + 1
         value[todo] = np.bincount(first, wide - 1 - ordered % wide >= place, len(todo)).astype(np.int64)
-        todo = x.starts
+        held[todo] = np.bincount(first, value[near] >= value[todo][first], len(todo))
+        now[todo] = True  # others lose those that fell below them
+        lost = inner[near] & ~now[near] & (before[first] >= value[near]) & (value[near] > value[todo][first])
+        now[todo] = False
+        hit = near[lost]
+        held -= np.bincount(hit, minlength=len(held))
+        todo = np.union1d(todo, hit)
+        todo = todo[held[todo] < value[todo]]
     return pa.table({"v": x.ids[x.starts], "value": value[x.starts]})
 
 
@@ -161,20 +167,30 @@ def _rounds_of(table):
     import pyarrow as pa
 
     x, value = _values(table)
-    begin, size, flat = x.own
-    over = np.zeros(len(x.ids), np.int64)
-    over[np.searchsorted(x.ids, table.column("v").to_numpy()[table.column("own").to_numpy()])] = table.column("over").to_numpy()[table.column("own").to_numpy()]
+    size = x.own[1]
+    over, held, now = np.zeros(len(value), np.int64), np.zeros(len(value), np.int64), np.zeros(len(value), bool)
+    mine = table.column("own").to_numpy()
+    over[np.searchsorted(x.ids, table.column("v").to_numpy()[mine])] = table.column("over").to_numpy()[mine]
     late = x.starts[over[x.starts] > 0]
-    while len(late):
-        first, near = x.joined(late, x.own)
-        before = np.bincount(first, value[near] < value[late][first], len(late))
-        todo = late[before < over[late]]
-        if not len(todo):
-            break
+    inner = np.zeros(len(value), bool)
+    inner[late] = True
+    first, near = x.joined(late, x.own)
+    held[late] = np.bincount(first, value[near] < value[late][first], len(late))
+    todo = late[held[late] < over[late]]
+    while len(todo):
         first, near = x.joined(todo, x.own)
+        before = value[todo]
         wide = int(value.max()) + 1
         ordered = np.sort(first * wide + value[near]) % wide
         value[todo] = ordered[np.cumsum(size[todo]) - size[todo] + over[todo] - 1] + 1
+        held[todo] = np.bincount(first, value[near] < value[todo][first], len(todo))
+        now[todo] = True  # others lose those that rose to them
+        lost = inner[near] & ~now[near] & (before[first] < value[near]) & (value[near] <= value[todo][first])
+        now[todo] = False
+        hit = near[lost]
+        held -= np.bincount(hit, minlength=len(held))
+        todo = np.union1d(todo, hit)
+        todo = todo[held[todo] < over[todo]]
     return pa.table({"v": x.ids[x.starts], "value": value[x.starts]})
 
 

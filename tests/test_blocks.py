@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from edgeloom.operators import blocks, triangles
+from edgeloom.operators import blocks, cliques, peel, triangles
 
 
 def random_graph(n, p, seed):
@@ -37,3 +37,46 @@ def test_two_step_paths_are_not_shuffled(spark):
         assert "FlatMapGroupsInArrow" in plan and "LeftSemi" not in plan
     # a list is sent to each block that needs it, once: two blocks at most here, whatever the number of edges
     assert triangles.partial_counts(o, 20, 2).count() <= 4
+
+
+def plain_cores(n, pairs):
+    """(core, wave in its shell) of each id by the definitions, everything looked at anew."""
+    near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in range(n)}
+    core, left = {}, set(range(n))
+    for k in range(n + 1):
+        while low := [v for v in left if len(near[v] & left) <= k]:
+            core |= dict.fromkeys(low, k)
+            left -= set(low)
+    wave: dict = {}
+    t = 0
+    while len(wave) < n:
+        out = [v for v in range(n) if v not in wave and sum(core[w] > core[v] or (core[w] == core[v] and w not in wave) for w in near[v]) <= core[v]]
+        wave |= dict.fromkeys(out, t)
+        t += 1
+    return {v: (core[v], wave[v]) for v in range(n)}
+
+
+@pytest.mark.parametrize("n, p, seed", [(40, 0.12, 6), (25, 0.4, 7)])
+def test_cores_of_many_blocks(spark, monkeypatch, n, p, seed):
+    monkeypatch.setattr(peel, "CORE_ENDS", 9)
+    pairs = random_graph(n, p, seed)
+    top = max(b for _, b in pairs) + 1
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    assert {r["v"]: (r["core"], r["round"]) for r in peel.core_numbers(edges).collect()} == plain_cores(top, pairs)
+    assert peel.core_numbers(edges, rounds=False).columns == ["v", "core"]
+
+
+def test_cliques_of_many_blocks(spark, small_blocks):
+    pairs = random_graph(18, 0.5, 8)
+    near = set(pairs)
+    sets = [c for k in range(1, 9) for c in combinations(range(18), k) if all(e in near for e in combinations(c, 2))]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    for k in (4, 5):
+        rows = [tuple(sorted(r)) for r in cliques.k_cliques(triangles.directed(edges), k).collect()]
+        assert sorted(rows) == sorted(c for c in sets if len(c) == k)
+    ranks = spark.createDataFrame([(v, v * 7 % 18) for v in range(18)], "v long, rank long")
+    held = [set(c) for c in sets]
+    want = sorted(tuple(c) for c in sets if not any(set(c) < h for h in held))
+    found = cliques.maximal_cliques(edges, ranks)
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r[0]) for r in found.collect()) == want
