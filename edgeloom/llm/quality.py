@@ -26,6 +26,8 @@ _KINDS = 8  # space, lower or other letter, upper, digit, sentence mark, exclama
 BASE = 14
 #: lines that forward-backward takes one after another
 STEP = 32
+#: bytes whose features are worked out at a time, bytes of the texts scored at a time, fitted texts scored at a time
+PIECE, SLICE, FIT_PART = 1 << 20, 2 << 20, 100
 
 
 def _kind_table():
@@ -53,11 +55,34 @@ def _kind_table():
 
 def line_features(texts: list[str]):
     """(lines x BASE features, bytes of each line, lines of each text)."""
+    return by_pieces(texts, lambda x: x)
+
+
+def by_pieces(texts: list[str], of):
+    """``of`` (lines x BASE features), bytes of each line, lines of each text. Lines have features of their own, so
+    those of about ``PIECE`` bytes are worked out at a time: what a byte takes meanwhile isn't held for all texts."""
     import numpy as np
 
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     n_lines = np.array([r.count(b"\n") + 1 for r in raw], np.int64)
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8) if raw else np.zeros(0, np.uint8)
+    del raw
+    ends = np.flatnonzero(data == 10)
+    out, sizes, at, lo = [], [], 0, 0
+    while at < len(ends) or not out:
+        to = max(at + 1, int(np.searchsorted(ends, lo + PIECE)))
+        hi = int(ends[to - 1]) + 1 if len(ends) else 0
+        x, size = _features(data[lo:hi])
+        out.append(of(x))
+        sizes.append(size)
+        at, lo = to, hi
+    return np.concatenate(out), np.concatenate(sizes), n_lines
+
+
+def _features(data):
+    """(lines x BASE features, bytes of each line) of UTF-8 lines, each with its line feed."""
+    import numpy as np
+
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
     size = ends - starts
@@ -92,7 +117,7 @@ def line_features(texts: list[str]):
             4 * counts[:, 4] / solid_chars, np.minimum(8 * counts[:, 5] / solid_chars, 4), np.minimum(8 * counts[:, 6] / solid_chars, 4), np.minimum(8 * counts[:, 7] / solid_chars, 4),
             again / w, (words == 0), counts[:, 0] / chars, (words > 0) & (words < 4),
         ], 1)
-    return out, size, n_lines
+    return out, size
 
 
 def with_neighbours(x, n_lines):
@@ -109,6 +134,22 @@ def with_neighbours(x, n_lines):
     return np.concatenate([x, before, after], 1)
 
 
+def line_scores(texts: list[str], w):
+    """(``with_neighbours`` times ``w``, bytes of each line, lines of each text): a line's three products, its own and
+    those that the lines after and before it take from it, in place of its features and theirs."""
+    import numpy as np
+
+    part, size, n_lines = by_pieces(texts, lambda x: x @ w.reshape(3, BASE).T)
+    theta = part[:, 0].copy()
+    ends = np.cumsum(n_lines)
+    inner = np.ones(len(theta), bool)
+    inner[ends - n_lines] = False
+    at = np.flatnonzero(inner)
+    theta[at] += part[at - 1, 1]
+    theta[at - 1] += part[at, 2]
+    return theta, size, n_lines
+
+
 def _times(a, b):
     """Products of 2 x 2 matrices: rows 00, 01, 10, 11 relative to the largest, and the logarithm of that."""
     import numpy as np
@@ -222,7 +263,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 90, penalty: float = 1e-3):
         params = params - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     model = (params[:-4], params[-4:].reshape(2, 2))
     # the marginals of labelled documents put the threshold where their labels part
-    raw = document_scores(model, [t for t, _ in rows], None)
+    raw = np.concatenate([document_scores(model, [t for t, _ in rows[i : i + FIT_PART]], None) for i in range(0, len(rows), FIT_PART)])
     return (*model, _calibrate(raw, np.array([y for _, y in rows], np.float64)))
 
 
@@ -243,8 +284,8 @@ def document_scores(model, texts: list[str], calibration):
     """Quality of each text: its lines' marginals of good, weighted by length."""
     import numpy as np
 
-    x, size, n_lines = line_features(texts)
-    good, _, _ = marginals(with_neighbours(x, n_lines) @ model[0], model[1], n_lines)
+    theta, size, n_lines = line_scores(texts, model[0])
+    good, _, _ = marginals(theta, model[1], n_lines)
     at = np.cumsum(n_lines) - n_lines
     weight = size + 1.0
     raw = np.add.reduceat(good * weight, at) / np.add.reduceat(weight, at) if len(at) else np.zeros(0)
@@ -280,7 +321,7 @@ def _with_score(rows: DataFrame, model) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, text=1):
+            for part in slices(batch, max_bytes=SLICE, text=1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 model = shared.value
                 s = document_scores(model[:2], texts, model[2]) if model is not None else [0.5] * len(texts)

@@ -97,6 +97,24 @@ def plain_quality(model, text):
     return 1 / (1 + np.exp(-(slope * np.log(raw / (1 - raw)) + offset)))
 
 
+def test_quality_of_many_lines_is_held_as_few_numbers(monkeypatch):
+    import tracemalloc
+
+    texts = ["\n" * 300_000, "", "One line.\n\nTwo two | three", "x" * 5000 + "\n"]
+    model = (np.linspace(-1, 1, 3 * quality.BASE), np.array([[0.3, -0.2], [0.1, 0.4]]))
+    tracemalloc.start()
+    got = quality.document_scores(model, texts, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000 * 400  # its features and its neighbours' alone take 336 bytes a line, with copies 681
+    whole = quality.line_features(texts[1:])
+    monkeypatch.setattr(quality, "PIECE", 7)
+    assert np.allclose(quality.document_scores(model, texts[1:], None), got[1:])
+    assert all((a == b).all() for a, b in zip(quality.line_features(texts[1:]), whole))
+    theta, _, n_lines = quality.line_scores(texts[1:], model[0])
+    assert np.allclose(theta, quality.with_neighbours(whole[0], n_lines) @ model[0])
+
+
 def test_quality_scores():
     rng = random.Random(2)
     line = lambda words: " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))
