@@ -1,11 +1,11 @@
 """Searches in blocks of ids: against every triple and subset, with many blocks, and without two-step paths in a shuffle."""
 
 import random
-from itertools import combinations
+from itertools import combinations, permutations
 
 import pytest
 
-from edgeloom.operators import blocks, cliques, peel, triangles
+from edgeloom.operators import blocks, cliques, patterns, peel, triangles
 
 
 def random_graph(n, p, seed):
@@ -80,3 +80,32 @@ def test_cliques_of_many_blocks(spark, small_blocks):
     found = cliques.maximal_cliques(edges, ranks)
     assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r[0]) for r in found.collect()) == want
+
+
+PATTERNS = {
+    "path3": ((0, 1, 0), ((0, 1), (1, 2))), "cycle4": ((0, 1, 0, 2), ((0, 1), (1, 2), (2, 3), (0, 3))), "one label": ((1, 1, 1, 1), ((0, 1), (1, 2), (2, 3), (0, 3))),
+    "diamond": ((0, 1, 2, 1), ((0, 1), (0, 2), (1, 2), (1, 3), (2, 3))), "k4": ((0, 1, 2, 0), ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))),
+    "star": ((2, 0, 1, 0), ((0, 1), (0, 2), (0, 3))), "house": ((0, 1, 2, 0, 1), ((0, 1), (1, 2), (2, 3), (0, 3), (0, 4), (1, 4))), "path6": ((0, 1, 2, 1, 0, 2), ((0, 1), (1, 2), (2, 3), (3, 4), (4, 5))),
+}
+
+
+@pytest.mark.parametrize("directed", [False, True])
+@pytest.mark.parametrize("name", sorted(PATTERNS))
+def test_patterns_of_many_blocks(spark, monkeypatch, name, directed):
+    monkeypatch.setattr(blocks, "BLOCK_EDGES", 9)
+    r = random.Random(11)
+    n, pattern = 13, patterns.Pattern(*PATTERNS[name])
+    stored = {p for p in permutations(range(n), 2) if r.random() < 0.5}
+    if not directed:
+        stored |= {(b, a) for a, b in stored}
+    labels = [(v, r.randrange(3)) for v in range(n)] + [(3, 1), (4, 2)]  # a vertex can have two labels
+    edges = spark.createDataFrame([*stored, (5, 5), min(stored)], "src long, dst long")
+    table = spark.createDataFrame(sorted(set(labels)), "v long, label int")
+    frequency = {x: sum(b == x for _, b in set(labels)) for x in range(3)}
+    place = {q: i for i, q in enumerate(patterns.join_order(pattern, frequency))}
+    along = [(a, b) if place[a] < place[b] else (b, a) for a, b in pattern.edges]
+    want = sorted(m for m in permutations(range(n), len(pattern.labels)) if all((m[a], m[b]) in stored for a, b in along) and all((v, x) in labels for v, x in zip(m, pattern.labels)))
+    found = patterns.match(edges, table, pattern)
+    assert sorted(map(tuple, found.collect())) == want and want
+    joined = "FlatMapGroupsInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert joined == (name == "path6")  # paths of the others are not shuffled
