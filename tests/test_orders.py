@@ -246,3 +246,40 @@ def test_bucket_order_by_looking_at_all_buckets(spark):
     want = [v for b in buckets[::-1] for v in b] + long[40 * m :] + [v for k in (1, 0) for v in sorted(degree) if degree[v] == k]
     got = {r["new_id"]: r["old_id"] for r in sequential.bucket_balance(o).collect()}
     assert [got[i] for i in range(len(want))] == want and m > 2 and 0 < few < 40 * m
+
+
+@pytest.mark.parametrize("method", sorted(sequential.METHODS))
+def test_graphs_beyond_what_a_task_holds(spark, monkeypatch, method):
+    """Lists in a file, parts on arrays and on lists, few entries at a time: the same order. No size is refused."""
+    _, outs, ins = graph(90, 0.15, 8)
+    pairs = [(a, b) for a in outs for b in outs[a]]
+    table = spark.createDataFrame(pairs, "src long, dst long").repartition(5)
+    want = sequential.METHODS[method](sequential.Graph(90, pairs))
+    if method in PLAIN:
+        assert want == PLAIN[method](90, outs, ins)
+    for held in (3, len(pairs)):
+        got = {r["new_id"]: r["old_id"] for r in sequential.reorder(table, method, held=held).collect()}
+        assert [got[i] for i in range(90)] == want, held
+    for name, value in (("SMALL", 0), ("STEP", 5), ("AHEAD", 2)):
+        monkeypatch.setattr(sequential, name, value)
+    assert sequential.METHODS[method](sequential.Graph(90, pairs)) == want
+    repeated = sequential.METHODS[method](sequential.Graph(90, pairs + pairs[::3] + [(4, 4)]))
+    assert sorted(repeated) == list(range(90))
+
+
+@pytest.mark.parametrize("method", ["dfs", "bfs", "rcm", "slashburn", "bfsr", "gro"])
+def test_repeated_edges_and_loops(method):
+    _, outs, ins = graph(60, 0.1, 9)
+    pairs = [(a, b) for a in outs for b in outs[a]] * 2 + [(7, 7)]
+    outs = {v: sorted(b for a, b in pairs if a == v) for v in range(60)}
+    ins = {v: sorted(a for a, b in pairs if b == v) for v in range(60)}
+    unlike = lambda rows: {v: sorted(set(r)) for v, r in rows.items()}
+    plain = (outs, ins) if method in ("slashburn", "gro") else (unlike(outs), unlike(ins))
+    if method in ("bfs", "rcm"):  # the plain walk looks at a list's repeats at once
+        order = {"bfs": lambda: plain_levels(60, plain[0], sorted(range(60), key=lambda v: (-len(outs[v]), v)), lambda v: v)}
+        order["rcm"] = lambda: plain_levels(60, plain[0], sorted(range(60), key=key), key)[::-1]
+        key = lambda v: (len(outs[v]) + len(ins[v]), v)
+        want = order[method]()
+    else:
+        want = PLAIN[method](60, *plain)
+    assert sequential.METHODS[method](sequential.Graph(60, pairs)) == want
