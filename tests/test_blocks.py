@@ -5,7 +5,7 @@ from itertools import combinations, permutations
 
 import pytest
 
-from edgeloom.operators import blocks, cliques, patterns, peel, triangles
+from edgeloom.operators import blocks, cliques, patterns, peel, prepare, triangles
 
 
 def random_graph(n, p, seed):
@@ -109,3 +109,34 @@ def test_patterns_of_many_blocks(spark, monkeypatch, name, directed):
     assert sorted(map(tuple, found.collect())) == want and want
     joined = "FlatMapGroupsInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert joined == (name == "path6")  # paths of the others are not shuffled
+
+
+@pytest.mark.parametrize("sent", [1, 60])
+def test_lists_are_sent_in_rounds(spark, monkeypatch, sent):
+    """Ids that are not near: each block reaches most lists, which are never sent to all blocks at once."""
+    monkeypatch.setattr(blocks, "BLOCK_EDGES", 9)
+    monkeypatch.setattr(blocks, "SENT", sent)
+    monkeypatch.setattr(blocks, "PIECE", 3)
+    r = random.Random(12)
+    n, pattern = 16, patterns.Pattern(*PATTERNS["diamond"])
+    stored = {p for p in permutations(range(n), 2) if r.random() < 0.6}
+    stored |= {(b, a) for a, b in stored}
+    label = [r.randrange(3) for _ in range(n)]
+    want = sorted(m for m in permutations(range(n), 4) if all((m[a], m[b]) in stored for a, b in pattern.edges) and all(label[v] == x for v, x in zip(m, pattern.labels)))
+    written = []
+    monkeypatch.setattr(blocks, "materialize", lambda df, tag="step", f=blocks.materialize: written.append(tag) or f(df, tag))
+    found = patterns.match(spark.createDataFrame([*stored], "src long, dst long").repartition(3), spark.createDataFrame(list(enumerate(label)), "v long, label int"), pattern)
+    assert sorted(map(tuple, found.collect())) == want and want
+    assert written.count("found") > 1
+
+
+def test_raw_pairs_are_read_once(spark, tmp_path):
+    """Patterns take repeated rows as they come, in both directions."""
+    pairs = random_graph(40, 0.3, 13)
+    raw = pairs + [(b, a) for a, b in pairs[::2]] + [(3, 3)]
+    random.Random(14).shuffle(raw)
+    spark.createDataFrame(raw, "src long, dst long").repartition(3).write.parquet(str(tmp_path / "raw"))
+    edges = spark.read.parquet(str(tmp_path / "raw"))
+    both = prepare.both_directions(edges)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert sorted(map(tuple, both.collect())) == sorted([*raw, *((b, a) for a, b in raw)])
