@@ -283,3 +283,12 @@ def test_repeated_edges_and_loops(method):
     else:
         want = PLAIN[method](60, *plain)
     assert sequential.METHODS[method](sequential.Graph(60, pairs)) == want
+
+
+@pytest.mark.parametrize("many", [0, 3])
+def test_window_greedy_seeks_among_the_highest(monkeypatch, many):
+    """The next pick is sought among few; where those are used up, among all again. Ties as in the plain rule."""
+    monkeypatch.setattr(sequential, "MANY", many)
+    for n, p, seed in [*GRAPHS, (120, 0.2, 10)]:
+        g, outs, ins = graph(n, p, seed)
+        assert sequential.window_greedy(g) == plain_gro(n, outs, ins), n
