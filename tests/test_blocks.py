@@ -4,6 +4,7 @@ import random
 from itertools import combinations, permutations
 
 import pytest
+from pyspark.sql import functions as F
 
 from edgeloom.operators import blocks, cliques, patterns, peel, prepare, triangles
 
@@ -140,3 +141,14 @@ def test_raw_pairs_are_read_once(spark, tmp_path):
     both = prepare.both_directions(edges)
     assert both._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
     assert sorted(map(tuple, both.collect())) == sorted([*raw, *((b, a) for a, b in raw)])
+
+
+def test_canonical_edges_stand_in_order(spark):
+    """A table by ranges of its ends, sorted: a third of the room, and one exchange for order and comparison."""
+    pairs = random_graph(40, 0.3, 15)
+    raw = pairs + [(b, a) for a, b in pairs[::2]] + [(3, 3)]
+    random.Random(16).shuffle(raw)
+    table = prepare.canonical_table(spark.createDataFrame(raw, "src long, dst long").repartition(3))
+    parts = [p["e"] for p in table.withColumn("f", F.input_file_name()).groupBy("f").agg(F.collect_list(F.struct("src", "dst")).alias("e")).collect()]
+    assert all(e == sorted(e) for e in parts)
+    assert [tuple(x) for e in sorted(parts) for x in e] == pairs
