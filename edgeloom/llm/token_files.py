@@ -377,7 +377,7 @@ def write_token_blocks(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             return pa.RecordBatch.from_arrays([pa.array([file_no], pa.int32()), pa.array([no], pa.int32()), pa.array([start], pa.int64()), pa.array([size], pa.int64()), pa.array([write_block(held, vocabulary)], pa.binary())], names=["file_no", "block_no", "file_start", "n_tokens", "payload"])
 
         for batch in batches:
-            for part in slices(batch, max_bytes=2 << 20, text=1):
+            for part in slices(batch, rows=2000, max_bytes=6 << 20, text=1):
                 for d, data in zip(part.column(0).to_pylist(), tokens.token_bytes(part.column(1).to_pylist(), path)):
                     data += end
                     k = len(data) // 4

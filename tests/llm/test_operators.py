@@ -790,3 +790,11 @@ def test_scores_of_odd_texts(spark):
     assert toxicity.fit([]) is None and quality.fit([("a", 1)]) is None
     for kept in (toxicity.keep_clean(frame, None), quality.keep_good(frame, None)):
         assert kept.columns == frame.columns and kept.count() == frame.count()
+
+
+def test_the_collector_waits_while_texts_are_encoded(monkeypatch):
+    import gc
+
+    seen = []
+    monkeypatch.setattr(tokens.Library, "ids", lambda self, texts: seen.append(gc.isenabled()) or [b""] * len(texts))
+    assert tokens.token_bytes(["a"], tokens.default_path()) == [b""] and seen == [False] and gc.isenabled()
