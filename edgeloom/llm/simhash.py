@@ -271,8 +271,13 @@ def meeting_keys(hashes, frequent, percent: int):
 
 #: a sample of documents, one in so many, tells frequent shingles; at most so many of them
 SAMPLE, MOST_FREQUENT = 64, 50_000
-#: candidates a document names in a bucket in the first round, and how much that grows each round
-NAMED, GROWTH = 4, 8
+#: candidates a document names in a bucket
+NAMED = 4
+#: a bucket's sets are held in blocks of about this many members
+HELD_MEMBERS = 1 << 20
+#: of the full buckets that a document meets before this one, so many are told, and in a bucket the most frequent so many
+#: words of 64; that decides the cost only
+EARLIER, SEEN_WORDS = 64, 4
 
 
 def _frequent_shingles(rows: DataFrame, shingle: int):
@@ -294,24 +299,73 @@ def _frequent_shingles(rows: DataFrame, shingle: int):
     return h[at], (len(h) - np.arange(len(h)))[at]
 
 
-def candidates(label, rep, size, f, radius: int, percent: int, limit: int):
+def whole_groups(batches, keys: int, words: int):
+    """For batches sorted by their first ``keys`` columns: (columns as arrays, where their groups begin and the end),
+    never a part of a group. The last ``words`` columns become one array of unsigned words."""
+    import numpy as np
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - words)]
+        new.append(np.stack([batch.column(batch.num_columns - words + j).to_numpy().view(np.uint64) for j in range(words)], 1))
+        if rest is not None:
+            new = [np.concatenate(x) for x in zip(rest, new)]
+        cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in new[:keys]], axis=0)) + 1
+        if len(cut):  # the last group may go on
+            yield [x[: cut[-1]] for x in new], np.concatenate([[0], cut])
+        rest = [x[cut[-1] :] for x in new] if len(cut) else new
+    if rest is not None:
+        yield rest, np.array([0, len(rest[0])])
+
+
+def first_met(prev, key, i: int, at):
+    """Which of the rows ``at`` row i doesn't already meet in the bucket of the member before: a pair is left to the
+    first of several buckets in a row. Who has no member before has the bucket's own."""
+    return (prev[at] != prev[i]) | (prev[i] == key)
+
+
+def seen_bits(earlier, words: int):
+    """Unsigned words of each row of a bucket: bits for the full buckets in its list, the frequent ones of all lists."""
+    import numpy as np
+
+    row = np.repeat(np.arange(len(earlier)), [len(x) for x in earlier])
+    names, code, n = np.unique(np.concatenate(earlier).astype(np.int64), return_inverse=True, return_counts=True)
+    place = np.empty(len(names), np.int64)
+    place[np.argsort(-n, kind="stable")] = np.arange(len(names))
+    place = place[code]
+    kept = place < 64 * words
+    out = np.zeros((len(earlier), words), np.uint64)
+    np.bitwise_or.at(out, (row[kept], place[kept] // 64), np.uint64(1) << (place[kept] % 64).astype(np.uint64))
+    return out
+
+
+def possible(part, key: int, i: int, at, radius: int, percent: int):
+    """Those of the rows ``at`` of a bucket that may link with row i: other groups' that size and distance allow, and
+    that don't meet it in an earlier bucket anyway."""
+    import numpy as np
+
+    _, _, label, prev, size, f, seen = part
+    ok = (label[at] != label[i]) & first_met(prev, key, i, at) & ~(seen[at] & seen[i]).any(1) & (100 * np.minimum(size[at], size[i]) >= percent * np.maximum(size[at], size[i]))
+    at = at[ok]
+    return at[np.bitwise_count(f[at] ^ f[i]).sum(1, dtype=np.int64) <= radius]
+
+
+def candidates(part, key: int, radius: int, percent: int, limit: int):
     """(pairs of rows, whether a row has named ``limit`` and may have more) in one bucket, whose rows rise by ``rep``.
 
-    Each row names the first ``limit`` earlier rows of other groups that size and Hamming distance allow.
+    Each row names the first ``limit`` earlier rows that it may link with.
     """
     import numpy as np
 
     pairs, cut = [], False
-    left, named = np.arange(len(rep)), np.zeros(len(rep), np.int64)
-    if len(left) and (label == label[0]).all():
-        return pairs, cut
-    for i in range(len(rep) - 1):
+    left, named = np.arange(len(part[0])), np.zeros(len(part[0]), np.int64)
+    for i in range(len(named) - 1):
         left = left[np.searchsorted(left, i + 1) :]
         if not len(left):
             break
-        ok = (label[left] != label[i]) & (100 * np.minimum(size[left], size[i]) >= percent * np.maximum(size[left], size[i]))
-        at = left[ok]
-        at = at[np.bitwise_count(f[at] ^ f[i]).sum(1, dtype=np.int64) <= radius]
+        at = possible(part, key, i, left, radius, percent)
         if len(at):
             pairs += [(j, i) for j in at.tolist()]
             named[at] += 1
@@ -321,6 +375,44 @@ def candidates(label, rep, size, f, radius: int, percent: int, limit: int):
     return pairs, cut
 
 
+def unsettled(part, key: int, radius: int, percent: int):
+    """The rows of a bucket that may link with one of another group, in order."""
+    import numpy as np
+
+    open_ = np.zeros(len(part[0]), bool)
+    for i in range(len(open_) - 1):
+        at = possible(part, key, i, np.arange(i + 1, len(open_)), radius, percent)
+        open_[at] = True
+        open_[i] |= len(at) > 0
+    return np.flatnonzero(open_)
+
+
+def crowd_links(part, key: int, block, members, radius: int, percent: int):
+    """Pairs of rows: a spanning forest of the exact links between the groups of one bucket, whose rows come with the
+    members of their sets. Where the rows are of two blocks, only pairs across them are compared."""
+    import numpy as np
+
+    rep, _, label, *_ = part = [x.copy() if k == 2 else x for k, x in enumerate(part)]
+    sets = [np.frombuffer(m, np.uint64) for m in members]
+    ends = np.cumsum([len(m) for m in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    mine = [codes[b - len(m) : b] for m, b in zip(sets, ends.tolist())]
+    flag = np.zeros(codes.max() + 1, bool)
+    across = (block != block[0]).any()
+    found = []
+    for i in range(len(rep) - 1):
+        at = possible(part, key, i, np.arange(i + 1, len(rep)), radius, percent)
+        if across:
+            at = at[block[at] != block[i]]
+        flag[mine[i]] = True
+        for j in at.tolist():
+            if label[j] != label[i] and similar(len(mine[i]), len(mine[j]), int(np.count_nonzero(flag[mine[j]])), percent):
+                found.append((i, j))
+                label[label == label[j]] = label[i]
+        flag[mine[i]] = False
+    return found
+
+
 def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, words: int = 2) -> DataFrame:
     """doc_id, component_id at a Jaccard similarity of shingle sets (a whole percentage).
 
@@ -328,15 +420,16 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
     at the similarity meets for certain. In a bucket, 128-bit SimHash distances within a wide radius leave few pairs,
     and each of those is a link only when the exact Jaccard similarity of the two sets says so.
 
-    A document first names a few candidates in each bucket. Buckets where one may have more come again in a further
-    round, with a larger number and without pairs already in one group, until none is left: a large group costs a few
-    pairs a document, and no pair of different groups stays uncompared.
+    A document first names a few candidates in each bucket, and those that link make groups. In buckets where one may
+    have more, the documents that may link with another group then come with their sets: what links is found there,
+    and a bucket sends a spanning forest, never its pairs. So no pair of different groups stays uncompared, and what
+    a bucket sends grows with its rows, not with their pairs, even where all are near and none are linked.
     """
     spark = docs.sparkSession
     ship_package(spark)
     percent = round(100 * similarity)
     radius = radius_for(similarity, 64 * words)
-    cols = [f"f{j}" for j in range(words)]
+    cols, seen_cols = [f"f{j}" for j in range(words)], [f"e{j}" for j in range(SEEN_WORDS)]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shared = spark.sparkContext.broadcast(_frequent_shingles(rows, shingle))
     # a set with a partner other than its equals has enough members to miss one
@@ -360,38 +453,66 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
     reps = lookup(known, first, ["mark"], many).where("doc_id = rep").dropDuplicates(["rep", "mark"]).where(F.size("keys") > 0).select("rep", "mark", "size", *cols, "keys")
     reps = materialize(reps, "reps")
 
-    def bucket_with(limit):
-        def bucket(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            def of(key, part):
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-                out, again = [], []
-                for i in np.flatnonzero(np.diff(cut) > 1).tolist():
-                    a, b = cut[i], cut[i + 1]
-                    rep, mark, label, size, f = (x[a:b] for x in part)
-                    pairs, more = candidates(label, rep, size, f, radius, percent, limit)
-                    out += [(rep[x], mark[x], rep[y], mark[y], None) for x, y in pairs]
-                    if more:
-                        again.append((None, None, None, None, key[a]))
-                return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, *again)] or [pa.array([], pa.int64())] * 5, names=["u", "u_mark", "v", "v_mark", "again"])
-
-            rest = None
-            for batch in batches:
-                new = [batch.column(i).to_numpy() for i in range(5)] + [np.stack([batch.column(5 + j).to_numpy().view(np.uint64) for j in range(words)], 1)]
-                if not len(new[0]):
-                    continue
-                if rest is not None:
-                    new = [np.concatenate(x) for x in zip(rest, new)]
-                whole = int(np.searchsorted(new[0], new[0][-1]))  # sorted: the last bucket may go on
-                if whole:
-                    yield of(new[0][:whole], [x[:whole] for x in new[1:]])
-                rest = [x[whole:] for x in new]
-            if rest is not None:
-                yield of(rest[0], rest[1:])
+    def bucket(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for columns, cut in whole_groups(batches, 1, words):
+            out, again = [], []
+            columns.append(np.zeros((len(columns[0]), 0), np.uint64))
+            for _, key, part in worth(columns, cut):
+                pairs, more = candidates(part, key, radius, percent, NAMED)
+                rep, mark = part[:2]
+                out += [(rep[x], mark[x], rep[y], mark[y], None) for x, y in pairs]
+                if more:
+                    again.append((None, None, None, None, key))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, *again)] or [pa.array([], pa.int64())] * 5, names=["u", "u_mark", "v", "v_mark", "again"])
+
+    def worth(columns, cut):
+        """(first row, key, rows) of the buckets with two groups at least that don't all come from one bucket."""
+        import numpy as np
+
+        key, part = columns[0], columns[1:]
+        label, prev = part[2:4]
+        mixed = np.logical_or.reduceat(label != np.repeat(label[cut[:-1]], np.diff(cut)), cut[:-1])
+        mixed &= np.logical_or.reduceat((prev != np.repeat(prev[cut[:-1]], np.diff(cut))) | (prev == key), cut[:-1])
+        for g in np.flatnonzero(mixed).tolist():
+            a, b = int(cut[g]), int(cut[g + 1])
+            yield a, int(key[a]), [x[a:b] for x in part]
+
+    def gather(batches):
+        import numpy as np
+        import pyarrow as pa
 
-        return bucket
+        for columns, cut in whole_groups(batches, 1, words):
+            earlier = columns.pop(1)
+            found = []  # rows, blocks, number of blocks, bits
+            for a, key, part in worth([*columns, earlier], cut):
+                part[-1] = seen_bits(part[-1], SEEN_WORDS)
+                at = unsettled(part, key, radius, percent)
+                if len(at):
+                    own = np.unique((np.cumsum(part[4][at], dtype=np.int64) - 1) // HELD_MEMBERS, return_inverse=True)[1]
+                    found.append((a + at, own, np.full(len(at), own[-1] + 1), part[-1][at]))
+            if found:
+                at, block, blocks, seen = (np.concatenate(x) for x in zip(*found))
+                *plain, f = (x[at] for x in columns)
+                bits = np.concatenate([f, seen], 1).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block, pa.int32()), pa.array(blocks, pa.int32()), *map(pa.array, plain), *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(bits.shape[1]))],
+                    names=["block", "blocks", "key", "rep", "mark", "label", "prev", "size", *cols, *seen_cols],
+                )
+
+    def settle(batches):
+        import pyarrow as pa
+
+        for columns, cut in whole_groups(batches, 3, words + SEEN_WORDS):
+            key, _, _, block, members, *part, bits = columns
+            part += [bits[:, :words], bits[:, words:]]
+            out = []
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                some = [x[a:b] for x in part]
+                out += [(some[0][x], some[0][y]) for x, y in crowd_links(some, int(key[a]), block[a:b], members[a:b], radius, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * 2, names=["u", "v"])
 
     def to_sets(batches):
         import pyarrow as pa
@@ -418,28 +539,40 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
                 at = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at)], names=["u", "v"])
 
-    links = found = keys = None
-    limit = NAMED
-    while True:
-        now = reps.withColumn("label", F.col("rep")) if found is None else reps.join(found, reps["rep"] == found["node"], "left").withColumn("label", F.coalesce("component", "rep"))
-        visits = now.select(F.explode("keys").alias("key"), "rep", "mark", "label", "size", *cols)
-        if keys is not None:
-            visits = visits.join(keys, "key", "left_semi")
-        dealt = visits.repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "rep", "mark")
-        named = materialize(dealt.mapInArrow(bucket_with(limit), "u long, u_mark long, v long, v_mark long, again long"), "named")
-        pairs = named.where("u is not null").select("u", "u_mark", "v", "v_mark").distinct()
-        ends = pairs.select(F.col("u").alias("k"), F.col("u_mark").alias("m")).unionByName(pairs.select(F.col("v").alias("k"), F.col("v_mark").alias("m"))).distinct()
-        sets = materialize(rows.join(ends, rows["doc_id"] == ends["k"]).select("k", "m", "text").mapInArrow(to_sets, "k long, m long, members binary").dropDuplicates(["k", "m"]), "sets")
-        mine, theirs = (sets.select(F.col("k").alias(c), F.col("m").alias(f"{c}_mark"), F.col("members").alias(f"{c}_set")) for c in "uv")
-        both = pairs.join(mine, ["u", "u_mark"]).join(theirs, ["v", "v_mark"]).select("u", "v", "u_set", "v_set")
-        new = materialize(both.mapInArrow(confirm, "u long, v long"), "links")
+    def sets_of(ends):
+        return materialize(rows.join(ends, rows["doc_id"] == ends["k"]).select("k", "m", "text").mapInArrow(to_sets, "k long, m long, members binary").dropDuplicates(["k", "m"]), "sets")
+
+    def dealt(visits):
+        return visits.repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "rep", "mark")
+
+    # each member with the one before it, the first with itself
+    visits = reps.select(F.expr("posexplode(transform(keys, (k, i) -> struct(k as key, if(i > 0, keys[i - 1], k) as prev)))").alias("pos", "at"), "rep", "mark", "size", *cols)
+    visits = visits.select("at.key", "rep", "mark", F.col("rep").alias("label"), "at.prev", "size", *cols, "pos")
+    named = materialize(dealt(visits.drop("pos")).mapInArrow(bucket, "u long, u_mark long, v long, v_mark long, again long"), "named")
+    pairs = named.where("u is not null").select("u", "u_mark", "v", "v_mark").distinct()
+    sets = sets_of(pairs.select(F.col("u").alias("k"), F.col("u_mark").alias("m")).unionByName(pairs.select(F.col("v").alias("k"), F.col("v_mark").alias("m"))).distinct())
+    mine, theirs = (sets.select(F.col("k").alias(c), F.col("m").alias(f"{c}_mark"), F.col("members").alias(f"{c}_set")) for c in "uv")
+    both = pairs.join(mine, ["u", "u_mark"]).join(theirs, ["v", "v_mark"]).select("u", "v", "u_set", "v_set")
+    links = materialize(both.mapInArrow(confirm, "u long, v long"), "links")
+    discard(sets)
+    found = materialize(connected_components(links), "components")
+    keys = named.where("again is not null").select(F.col("again").alias("key"))
+    if not keys.isEmpty():
+        # a document's full buckets in their order, each with those before it
+        full = visits.join(keys, "key", "left_semi").groupBy("rep", "mark", "size", *cols).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "prev"))).alias("at"))
+        full = full.join(found, full["rep"] == found["node"], "left").withColumn("label", F.coalesce("component", "rep"))
+        full = full.select(F.expr(f"explode(transform(at, (x, i) -> struct(x.key as key, x.prev as prev, slice(at.key, 1, least(i, {EARLIER})) as earlier)))").alias("at"), "rep", "mark", "label", "size", *cols)
+        full = full.select("at.key", "at.earlier", "rep", "mark", "label", "at.prev", "size", *cols)
+        kinds = ", ".join(f"{c} long" for c in [*cols, *seen_cols])
+        crowd = materialize(dealt(full).mapInArrow(gather, f"block int, blocks int, key long, rep long, mark long, label long, prev long, size int, {kinds}"), "crowd")
+        sets = sets_of(crowd.select(F.col("rep").alias("k"), F.col("mark").alias("m")).distinct())
+        # a bucket of several blocks is compared by pairs of them
+        held = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, (F.col("rep") == F.col("k")) & (F.col("mark") == F.col("m")))
+        held = held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "members", "rep", "mark", "label", "prev", "size", *cols, *seen_cols)
+        held = held.repartition(shuffle_width(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep", "mark")
+        links = links.unionByName(materialize(held.mapInArrow(settle, "u long, v long"), "links"))
         discard(sets)
-        links = new if links is None else links.unionByName(new)
         found = materialize(connected_components(links), "components")
-        keys = named.where("again is not null").select(F.col("again").alias("key")).distinct()
-        if keys.isEmpty():
-            break
-        limit *= GROWTH
     ends = materialize(first.join(found, first["rep"] == found["node"], "left").select("mark", "n", F.coalesce("component", "rep").alias("component_id")), "ends")
     joined = lookup(known.select("doc_id", "mark"), ends, ["mark"], many, "left")
     return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

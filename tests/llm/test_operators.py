@@ -629,6 +629,60 @@ def test_links_are_verified(spark):
     assert [got[i] for i in range(len(texts))] == root and root[:130] == list(range(130))
 
 
+
+def jaccard_roots(texts, shingle=5):
+    sets = [set(simhash.shingle_set(t, shingle).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    return root
+
+
+def crowd(rng, n, changes=4):
+    """Texts of 300 words that are all near, most of them just below the similarity, some linked."""
+    base, texts = words(rng, 300).split(), []
+    for _ in range(n):
+        v = list(base)
+        for k in rng.sample(range(300), changes):
+            v[k] = f"c{rng.random()}"
+        texts.append(" ".join(v))
+    return texts
+
+
+def test_a_crowd_that_is_not_linked_sends_few_rows(spark, monkeypatch):
+    """What buckets send is bounded by what they get, not by its pairs, and no link is lost."""
+    rng = random.Random(21)
+    texts = crowd(rng, 150, 5) + crowd(rng, 10, 2)
+    made, plain = {}, simhash.materialize
+
+    def counted(df, tag="step"):
+        table = plain(df, tag)
+        made[tag] = made.get(tag, 0) + table.count()
+        if tag == "reps":
+            made["visits"] = sum(len(r["keys"]) for r in table.collect())
+        return table
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(docs_frame(spark, texts)).collect()}
+    root = jaccard_roots(texts)
+    assert [got[i] for i in range(len(texts))] == root and 140 < len(set(root)) < len(texts)
+    assert made["named"] <= (simhash.NAMED + 1) * made["visits"] and made["crowd"] <= made["visits"] and made["links"] <= made["visits"]
+
+
+@pytest.mark.parametrize("held,earlier,seen", [(700, 64, 4), (1, 0, 1), (10**6, 3, 1)])
+def test_a_crowd_in_blocks(spark, monkeypatch, held, earlier, seen):
+    """Blocks of a few sets, and any number of earlier buckets told, give the same groups."""
+    for name, value in (("HELD_MEMBERS", held), ("EARLIER", earlier), ("SEEN_WORDS", seen), ("NAMED", 1)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(held)
+    texts = crowd(rng, 40) + crowd(rng, 25, 3) + crowd(rng, 12, 5) + ["short", ""]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(docs_frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == jaccard_roots(texts)
+
+
 # ops 2 and 10
 
 
