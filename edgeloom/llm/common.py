@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -94,6 +95,25 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], total: int, how: st
     return left.join(F.broadcast(hot), on).unionByName(rest)
 
 
+def gives_back(run):
+    """``run`` for mapInArrow: after a task's last batch its free memory goes back to the system. Python workers outlive
+    their tasks, and what they hold for later counts beside the other worker and the JVM."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

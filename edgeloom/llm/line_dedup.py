@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, hot_from, lookup, materialize, ship_package, slices
+from .common import discard, gives_back, hot_from, lookup, materialize, ship_package, slices
 
 MIN_WORDS = 30
 ANCHOR_WORDS = 4
@@ -221,7 +221,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(seqs, pa.list_(pa.binary())), pa.array(words, pa.list_(pa.int32())), pa.array(meet, pa.list_(pa.int64()))], names=["d", "mark", "seq", "words", "anchors"])
 
     usable = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    hashed = usable.mapInArrow(hashes, "d long, mark long, seq array<binary>, words array<int>, anchors array<long>")
+    hashed = usable.mapInArrow(gives_back(hashes), "d long, mark long, seq array<binary>, words array<int>, anchors array<long>")
     lines = materialize(hashed.dropDuplicates(["d", "mark"]), "lines")
 
     each = lines.select("d", "mark", F.explode("anchors").alias("h"))
@@ -254,7 +254,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
                 cov = [covered_lines(a, b) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(4), pa.array(cov, pa.list_(pa.int32()))], names=["d", "mark", "by_line", "at"])
 
-    covered = aligned.select("d", "mark", "seq", "p_seq", "by_line").mapInArrow(align, "d long, mark long, by_line boolean, at array<int>")
+    covered = aligned.select("d", "mark", "seq", "p_seq", "by_line").mapInArrow(gives_back(align), "d long, mark long, by_line boolean, at array<int>")
     lists = {"at": F.col("at"), "by_line": F.when(F.col("by_line"), F.col("at"))}  # collect_list leaves nulls out
     union = covered.groupBy("d", "mark").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(n) for n, c in lists.items())).where(F.size("at") > 0)
     cuts = materialize(union.join(lines.select("d", "mark", "words"), ["d", "mark"]), "cuts")
@@ -286,7 +286,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "new_text"])
 
     schema = T.StructType([met.schema["row"], T.StructField("new_text", T.StringType())])
-    done = met.select("row", "t", "cuts").mapInArrow(cut, schema)
+    done = met.select("row", "t", "cuts").mapInArrow(gives_back(cut), schema)
     value = {text: F.col("new_text")}
     if n_chars:
         value[n_chars] = F.length("new_text").cast(docs.schema[n_chars].dataType)

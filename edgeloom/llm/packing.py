@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialize, ship_package, slices
+from .common import gives_back, materialize, ship_package, slices
 
 CAPACITY = 1024
 GROUP_PIECES = 16_384
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     ship_package(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(gives_back(cut), schema)
 
 
 def _pack_round(rows: DataFrame, groups: int, level: int, capacity: int) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, remainder, ship_package, slices
+from .common import gives_back, labelled_sample, remainder, ship_package, slices
 
 #: labelled rows used for fitting, at most
 FIT_ROWS = 2500
@@ -327,7 +327,7 @@ def _with_score(rows: DataFrame, model) -> DataFrame:
                 s = document_scores(model[:2], texts, model[2]) if model is not None else [0.5] * len(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=[key, "score"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema.fields[0], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(gives_back(run), T.StructType([rows.schema.fields[0], T.StructField("score", T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, model, text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, discard, lookup, materialize, ship_package, shuffle_width, slices
+from .common import LOWER_BYTES, discard, gives_back, lookup, materialize, ship_package, shuffle_width, slices
 from .components import connected_components
 
 SEED = 42
@@ -273,6 +273,8 @@ def meeting_keys(hashes, frequent, percent: int):
 SAMPLE, MOST_FREQUENT = 64, 50_000
 #: candidates a document names in a bucket
 NAMED = 4
+#: so many keys of full buckets are broadcast at most
+MOST_SENT = 1_000_000
 #: a bucket's sets are held in blocks of about this many members
 HELD_MEMBERS = 1 << 20
 #: of the full buckets that a document meets before this one, so many are told, and in a bucket the most frequent so many
@@ -447,7 +449,7 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
                 keys = [meeting_keys(h, frequent, percent).view(np.int64) if least and len(h) >= least else [] for h in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_mark(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), *(pa.array(np.ascontiguousarray(f[:, j])) for j in range(words)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "size", *cols, "keys"])
 
-    known = materialize(rows.mapInArrow(prints, "doc_id long, mark long, size int, " + ", ".join(f"{c} long" for c in cols) + ", keys array<long>"), "prints")
+    known = materialize(rows.mapInArrow(gives_back(prints), "doc_id long, mark long, size int, " + ", ".join(f"{c} long" for c in cols) + ", keys array<long>"), "prints")
     first = materialize(known.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "first")
     many = known.count()
     reps = lookup(known, first, ["mark"], many).where("doc_id = rep").dropDuplicates(["rep", "mark"]).where(F.size("keys") > 0).select("rep", "mark", "size", *cols, "keys")
@@ -540,7 +542,7 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at)], names=["u", "v"])
 
     def sets_of(ends):
-        return materialize(rows.join(ends, rows["doc_id"] == ends["k"]).select("k", "m", "text").mapInArrow(to_sets, "k long, m long, members binary").dropDuplicates(["k", "m"]), "sets")
+        return materialize(rows.join(ends, rows["doc_id"] == ends["k"]).select("k", "m", "text").mapInArrow(gives_back(to_sets), "k long, m long, members binary").dropDuplicates(["k", "m"]), "sets")
 
     def dealt(visits):
         return visits.repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "rep", "mark")
@@ -548,29 +550,32 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
     # each member with the one before it, the first with itself
     visits = reps.select(F.expr("posexplode(transform(keys, (k, i) -> struct(k as key, if(i > 0, keys[i - 1], k) as prev)))").alias("pos", "at"), "rep", "mark", "size", *cols)
     visits = visits.select("at.key", "rep", "mark", F.col("rep").alias("label"), "at.prev", "size", *cols, "pos")
-    named = materialize(dealt(visits.drop("pos")).mapInArrow(bucket, "u long, u_mark long, v long, v_mark long, again long"), "named")
+    named = materialize(dealt(visits.drop("pos")).mapInArrow(gives_back(bucket), "u long, u_mark long, v long, v_mark long, again long"), "named")
     pairs = named.where("u is not null").select("u", "u_mark", "v", "v_mark").distinct()
     sets = sets_of(pairs.select(F.col("u").alias("k"), F.col("u_mark").alias("m")).unionByName(pairs.select(F.col("v").alias("k"), F.col("v_mark").alias("m"))).distinct())
     mine, theirs = (sets.select(F.col("k").alias(c), F.col("m").alias(f"{c}_mark"), F.col("members").alias(f"{c}_set")) for c in "uv")
     both = pairs.join(mine, ["u", "u_mark"]).join(theirs, ["v", "v_mark"]).select("u", "v", "u_set", "v_set")
-    links = materialize(both.mapInArrow(confirm, "u long, v long"), "links")
+    links = materialize(both.mapInArrow(gives_back(confirm), "u long, v long"), "links")
     discard(sets)
     found = materialize(connected_components(links), "components")
     keys = named.where("again is not null").select(F.col("again").alias("key"))
-    if not keys.isEmpty():
+    full_buckets = keys.count()
+    if full_buckets:
+        if full_buckets <= MOST_SENT:  # the others' visits aren't shuffled for it
+            keys = F.broadcast(keys)
         # a document's full buckets in their order, each with those before it
         full = visits.join(keys, "key", "left_semi").groupBy("rep", "mark", "size", *cols).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "prev"))).alias("at"))
         full = full.join(found, full["rep"] == found["node"], "left").withColumn("label", F.coalesce("component", "rep"))
         full = full.select(F.expr(f"explode(transform(at, (x, i) -> struct(x.key as key, x.prev as prev, slice(at.key, 1, least(i, {EARLIER})) as earlier)))").alias("at"), "rep", "mark", "label", "size", *cols)
         full = full.select("at.key", "at.earlier", "rep", "mark", "label", "at.prev", "size", *cols)
         kinds = ", ".join(f"{c} long" for c in [*cols, *seen_cols])
-        crowd = materialize(dealt(full).mapInArrow(gather, f"block int, blocks int, key long, rep long, mark long, label long, prev long, size int, {kinds}"), "crowd")
+        crowd = materialize(dealt(full).mapInArrow(gives_back(gather), f"block int, blocks int, key long, rep long, mark long, label long, prev long, size int, {kinds}"), "crowd")
         sets = sets_of(crowd.select(F.col("rep").alias("k"), F.col("mark").alias("m")).distinct())
         # a bucket of several blocks is compared by pairs of them
         held = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, (F.col("rep") == F.col("k")) & (F.col("mark") == F.col("m")))
         held = held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "members", "rep", "mark", "label", "prev", "size", *cols, *seen_cols)
         held = held.repartition(shuffle_width(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep", "mark")
-        links = links.unionByName(materialize(held.mapInArrow(settle, "u long, v long"), "links"))
+        links = links.unionByName(materialize(held.mapInArrow(gives_back(settle), "u long, v long"), "links"))
         discard(sets)
         found = materialize(connected_components(links), "components")
     ends = materialize(first.join(found, first["rep"] == found["node"], "left").select("mark", "n", F.coalesce("component", "rep").alias("component_id")), "ends")

@@ -23,7 +23,7 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, remainder, ship_package, slices
+from .common import gives_back, labelled_sample, remainder, ship_package, slices
 
 #: labelled rows used for fitting, at most
 FIT_ROWS = 3000
@@ -363,7 +363,7 @@ def _with_score(rows: DataFrame, model) -> DataFrame:
                 s = scorer.scores([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=[key, "score"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema.fields[0], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(gives_back(run), T.StructType([rows.schema.fields[0], T.StructField("score", T.DoubleType())]))
 
 
 def score(docs: DataFrame, model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 
 import public_tokenizers
-from edgeloom.llm import bpe, components, exact_dedup, html_text, line_dedup, packing, quality, queries, simhash, token_files, tokens, topk, toxicity
+from edgeloom.llm import bpe, common, components, exact_dedup, html_text, line_dedup, packing, quality, queries, simhash, token_files, tokens, topk, toxicity
 
 PATH = tokens.default_path()
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -683,6 +683,16 @@ def test_a_crowd_in_blocks(spark, monkeypatch, held, earlier, seen):
     assert [got[i] for i in range(len(texts))] == jaccard_roots(texts)
 
 
+
+def test_free_memory_is_given_back():
+    def run(batches):
+        for x in batches:
+            yield 2 * x
+
+    some = common.gives_back(run)
+    assert list(some(iter([1, 2]))) == [2, 4] and list(some(iter([]))) == [] and some.__name__ == "run"
+
+
 # ops 2 and 10
 
 
