@@ -8,11 +8,11 @@ from math import floor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import global_rank, materialize, replace
+from ..plans.storage import global_rank, materialize, replace, ship_package
 from . import blocks
 from .degree import degrees, with_isolated
 from .orient import by_key
-from .prepare import both_directions, canonical_edges, canonical_table, vertices
+from .prepare import both_directions, canonical_edges, canonical_table, n_of, vertices
 from .relabel import apply
 
 MOST_ROUNDS = 100_000
@@ -223,19 +223,93 @@ def _settle(own: DataFrame, state: DataFrame, run) -> DataFrame:
     raise RuntimeError("the values did not settle")
 
 
+def _peeled(size, flat, step: int = 4_000_000):
+    """core, round of each id by peeling in waves: ``flat`` holds the lists of all ids one after the other."""
+    import numpy as np
+
+    begin, left = np.cumsum(size) - size, size.copy()
+    core, wave, alive = np.zeros(len(size), np.int64), np.zeros(len(size), np.int32), np.ones(len(size), bool)
+    rest, k = np.arange(len(size)), 0
+    while len(rest):
+        k = max(k, int(left[rest].min()))
+        todo, t = rest[left[rest] <= k], 0
+        while len(todo):
+            alive[todo], core[todo], wave[todo] = False, k, t
+            ends, lo, met = np.cumsum(size[todo]), 0, []
+            while lo < len(todo):  # lists of ``step`` entries at a time, or a longer one
+                done = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, done + step, side="right")))
+                some = todo[lo:hi]
+                near = flat[np.repeat(begin[some] - ends[lo:hi] + done + size[some], size[some]) + np.arange(int(ends[hi - 1]) - done)]
+                hit, lost = np.unique(near[alive[near]], return_counts=True)
+                left[hit] -= lost
+                met.append(hit)
+                lo = hi
+            hit = met[0] if len(met) == 1 else np.unique(np.concatenate(met))
+            todo, t = hit[left[hit] <= k], t + 1
+        rest = rest[alive[rest]]
+    return core, wave
+
+
+def _peel_in_one_task(simple: DataFrame, m: int, n: int) -> DataFrame:
+    """v, core, round of every id. One task gets all edges, keeps them in a file of its own until both directions
+    stand as lists in memory, four bytes an edge and direction, and peels them."""
+    ship_package(simple.sparkSession)
+
+    def run(batches):
+        import tempfile
+
+        import numpy as np
+        import pyarrow as pa
+
+        with tempfile.TemporaryDirectory() as folder:
+            with open(f"{folder}/ends", "wb") as file:
+                for batch in batches:
+                    np.column_stack([c.to_numpy() for c in batch.columns]).astype(np.int32).tofile(file)
+            pairs = np.memmap(f"{folder}/ends", np.int32, "r", shape=(m, 2)) if m else np.empty((0, 2), np.int32)
+            size = np.zeros(n, np.int64)
+            for lo in range(0, m, blocks.PIECE * 4):
+                size += np.bincount(pairs[lo : lo + blocks.PIECE * 4].ravel(), minlength=n)
+            flat, free = np.empty(2 * m, np.int32), np.cumsum(size) - size
+            for lo in range(0, m, blocks.PIECE * 4):
+                some = pairs[lo : lo + blocks.PIECE * 4].astype(np.int64)
+                keys = np.concatenate([some[:, 0] << 32 | some[:, 1], some[:, 1] << 32 | some[:, 0]])
+                keys.sort()
+                v = keys >> 32
+                many = np.bincount(v, minlength=n)
+                flat[(free - np.cumsum(many) + many)[v] + np.arange(len(v))] = (keys & 0xFFFFFFFF).astype(np.int32)
+                free += many
+            del pairs
+        core, wave = _peeled(size, flat)
+        del flat
+        for lo in range(0, n, 1 << 17):
+            part = slice(lo, lo + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, min(n, lo + (1 << 17)))), pa.array(core[part]), pa.array(wave[part].astype(np.int64))], names=["v", "core", "round"])
+
+    ends = simple.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))
+    return ends.coalesce(1).mapInArrow(run, "v long, core long, round long")
+
+
 #: edge ends in a block of ``core_numbers``
 CORE_ENDS = 6_000_000
+#: bytes that one task of ``core_numbers`` holds at most: 8 an edge, 48 an id; larger graphs settle in blocks
+PEEL_BYTES = 800_000_000
 
 
 def core_numbers(edges: DataFrame, rounds: bool = True) -> DataFrame:
     """v, core, round of every id. ``round`` is the wave of the vertices of equal core in which a vertex can leave; it is
     left out without ``rounds``.
 
-    A vertex's number is the largest k such that k neighbours have k or more (an h-index), from degrees down until
-    nothing moves: the fixed point is the core number. Blocks of ids settle by themselves between rounds, so that
-    numbers travel between blocks only. The waves of all shells are the least fixed point of a like rule.
+    A graph of up to ``PEEL_BYTES`` is peeled in one task. In a larger one, a vertex's number is the largest k such that
+    k neighbours have k or more (an h-index), from degrees down until nothing moves: the fixed point is the core number.
+    Blocks of ids settle by themselves between rounds, so that numbers travel between blocks only. The waves of all
+    shells are the least fixed point of a like rule.
     """
     simple = canonical_table(edges)
+    m, n = simple.count(), n_of(simple)
+    if n < 1 << 31 and 8 * m + 48 * n <= PEEL_BYTES:
+        peeled = _peel_in_one_task(simple, m, n)
+        return peeled if rounds else peeled.drop("round")
     every = vertices(simple)
     own = blocks.lists(materialize(both_directions(simple), "both"), per=CORE_ENDS, least=1)
     core = _settle(own, materialize(own.select("v", F.size("nbrs").cast("long").alias("value")), "value"), _cores_of)
@@ -264,4 +338,9 @@ def degeneracy_order(cores: DataFrame) -> DataFrame:
 
 def core_direction(edges: DataFrame) -> DataFrame:
     simple = canonical_table(edges)
-    return by_key(simple, core_numbers(simple, rounds=False), "core", "v")
+    core = core_numbers(simple, rounds=False)
+    core = core if hasattr(core, "_edgeloom_path") else materialize(core, "core")
+    a, b = (core.select(F.col("v").alias(c), F.col("core").alias(f"c{c}")) for c in ("src", "dst"))
+    first = F.when(F.col("csrc") == F.col("cdst"), F.col("src") < F.col("dst")).otherwise(F.col("csrc") < F.col("cdst"))
+    met = simple.join(a, "src").join(b, "dst")
+    return met.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("dst"))

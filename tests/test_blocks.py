@@ -67,6 +67,29 @@ def test_cores_of_many_blocks(spark, monkeypatch, n, p, seed):
     assert peel.core_numbers(edges, rounds=False).columns == ["v", "core"]
 
 
+@pytest.mark.parametrize("n, p, seed", [(40, 0.12, 6), (25, 0.4, 7), (9, 1.0, 8)])
+def test_cores_in_one_task_and_in_blocks(spark, monkeypatch, n, p, seed):
+    """A graph that fits one task takes no rounds; a larger one settles in blocks."""
+    import numpy as np
+
+    pairs = random_graph(n, p, seed)
+    top = max(b for _, b in pairs) + 1
+    edges, want = spark.createDataFrame(pairs, "src long, dst long"), plain_cores(top, pairs)
+    near = [[b if a == v else a for a, b in pairs if v in (a, b)] for v in range(top)]
+    core, wave = peel._peeled(np.array([len(x) for x in near]), np.array(sum(near, []), np.int32), step=3)
+    assert dict(enumerate(zip(core.tolist(), wave.tolist()))) == want
+    settle = peel._settle
+    monkeypatch.setattr(peel, "_settle", lambda *_: pytest.fail("rounds"))
+    assert {r["v"]: (r["core"], r["round"]) for r in peel.core_numbers(edges).collect()} == want
+    directed = {tuple(r) for r in peel.core_direction(edges).collect()}
+    assert directed == {(a, b) if (want[a][0], a) < (want[b][0], b) else (b, a) for a, b in pairs}
+    monkeypatch.setattr(peel, "_settle", settle)
+    monkeypatch.setattr(peel, "PEEL_BYTES", 0)
+    monkeypatch.setattr(peel, "CORE_ENDS", 9)
+    assert {r["v"]: (r["core"], r["round"]) for r in peel.core_numbers(edges).collect()} == want
+    assert peel.core_numbers(edges.where("src < 0")).count() == 0
+
+
 def test_cliques_of_many_blocks(spark, small_blocks):
     pairs = random_graph(18, 0.5, 8)
     near = set(pairs)
