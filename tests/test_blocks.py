@@ -175,3 +175,31 @@ def test_canonical_edges_stand_in_order(spark):
     parts = [p["e"] for p in table.withColumn("f", F.input_file_name()).groupBy("f").agg(F.collect_list(F.struct("src", "dst")).alias("e")).collect()]
     assert all(e == sorted(e) for e in parts)
     assert [tuple(x) for e in sorted(parts) for x in e] == pairs
+
+
+@pytest.mark.parametrize("pairs_at_once", [1, 12, 60, 1 << 20])
+def test_maximal_cliques_of_many_roots_at_once(monkeypatch, pairs_at_once):
+    """Few pairs at a time, and roots that are searched by themselves, find the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(cliques, "PAIRS", pairs_at_once)
+    for n, p, seed in ((14, 0.5, 21), (14, 0.8, 22), (9, 1.0, 23), (60, 0.1, 24)):
+        pairs = random_graph(n, p, seed)
+        near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in range(n)}
+        names = [3 * v + 1 for v in range(n)]  # ids beyond those that the block has met are no candidates
+        lists = [np.array(sorted(names[w] for w in near[v])) for v in range(n)]
+        rank = np.random.default_rng(seed).permutation(n)
+        table = pa.table({"v": names, "nbrs": pa.array([[*x, 1000] for x in lists], pa.list_(pa.int32())), "own": [True] * n, "value": rank})
+        got = [tuple(x) for x in cliques._maximal_of(table).column(0).to_pylist()]
+        want = {tuple(names[w] for w in sorted(c)) for c in map(frozenset, cliques.search(set(range(n)), set(), near)) if len(c) > 1}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_each_list_goes_once_to_a_block(spark, monkeypatch):
+    """What the maximal cliques send: of a clique of eight in two blocks, eight lists to each."""
+    edges = spark.createDataFrame([(a, b) for a in range(8) for b in range(a)], "src long, dst long")
+    simple = prepare.canonical_table(edges)
+    own = blocks.lists(prepare.both_directions(simple), per=28, least=2)
+    sent = blocks.among(own, spark.range(8).selectExpr("id as v", "id as value"), lambda t: t.select(["v"]), "v long", 0)
+    assert sorted(r["v"] for r in sent.collect()) == sorted([*range(8)] * 2)
