@@ -203,3 +203,17 @@ def test_each_list_goes_once_to_a_block(spark, monkeypatch):
     own = blocks.lists(prepare.both_directions(simple), per=28, least=2)
     sent = blocks.among(own, spark.range(8).selectExpr("id as v", "id as value"), lambda t: t.select(["v"]), "v long", 0)
     assert sorted(r["v"] for r in sent.collect()) == sorted([*range(8)] * 2)
+
+
+def test_maximal_cliques_in_rounds(spark, monkeypatch):
+    """Where blocks reach more than may be sent at once, they run in rounds, and find the same."""
+    monkeypatch.setattr(blocks, "SENT", 30)
+    monkeypatch.setattr(cliques, "CLIQUE_ENDS", 20)
+    pairs = random_graph(18, 0.4, 31)
+    rounds, made = [], blocks.materialize
+    monkeypatch.setattr(blocks, "materialize", lambda df, tag="step": (rounds.append(tag), made(df, tag))[1])
+    found = cliques.maximal_cliques(spark.createDataFrame(pairs, "src long, dst long"), spark.range(20).selectExpr("id as v", "id * 7 % 20 as rank"))
+    near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in range(18)}
+    want = {tuple(sorted(c)) for c in cliques.search(set(range(max(map(max, pairs)) + 1)), set(), near)}
+    got = [tuple(r[0]) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and rounds.count("found") > 1
